@@ -1,9 +1,12 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe
+from tidelog.llm import bpe, shard
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op9_feistel_shards": shard.op9_feistel_shards,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op9_feistel_shards": shard.ORACLE,
+}
