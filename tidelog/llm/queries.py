@@ -1,12 +1,14 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe, shard
+from tidelog.llm import bpe, secretscan, shard
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op6_secret_scan": secretscan.op6_secret_scan,
     "op9_feistel_shards": shard.op9_feistel_shards,
 }
 
 ORACLES = {
+    "op6_secret_scan": secretscan.ORACLE,
     "op9_feistel_shards": shard.ORACLE,
 }
