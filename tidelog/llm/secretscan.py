@@ -133,19 +133,19 @@ def scan(df: DataFrame, text: str = "text", *, classes: tuple[EntropyClass, ...]
     t, *work = common.fresh(names, "t", *(f"{k}_{i}" for k in ("base", "cand") for i in range(max(len(BASE), len(classes)) * 2)))
     out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     found = []
-    none = F.array().cast("array<string>")
     chunk_cols = {}
+
+    def matches(test: str, pattern: str, **groups: int) -> Column:
+        """Of each gap and match: lengths and texts by group; the text is tested once."""
+        gapped = F.lit(f"(?s)(.*?)(?:{pattern}|\\z)")
+        got = {n: F.regexp_extract_all(F.col(t), gapped, F.lit(g)) for n, g in groups.items()}
+        zipped = F.arrays_zip(*(a.alias(n) if n == "text" else _lengths(a).alias(n) for n, a in got.items()))
+        return F.when(F.col(t).rlike(test), zipped)
+
     for k, (kind, test, pattern, group, least) in enumerate(BASE):
-        gapped, test_ = F.lit(f"(?s)(.*?)(?:{pattern}|\\z)"), F.col(t).rlike(test)
-        whole = F.when(test_, F.regexp_extract_all(F.col(t), gapped, F.lit(0))).otherwise(none)
-        match = F.when(test_, F.regexp_extract_all(F.col(t), gapped, F.lit(2))).otherwise(none)
-        value = F.when(test_, F.regexp_extract_all(F.col(t), gapped, F.lit(group))).otherwise(none) if group != 2 else match
-        chunk_cols[work[k]] = F.arrays_zip(_lengths(whole).alias("w"), _lengths(match).alias("m"), _lengths(value).alias("v"))
+        chunk_cols[work[k]] = matches(test, pattern, w=0, m=2, v=group)
     for k, c in enumerate(classes):
-        gapped, test_ = F.lit(f"(?s)(.*?)(?:({c.chars}{{{c.width},}})|\\z)"), F.col(t).rlike(f"{c.chars}{{{c.width}}}")
-        whole = F.when(test_, F.regexp_extract_all(F.col(t), gapped, F.lit(0))).otherwise(none)
-        match = F.when(test_, F.regexp_extract_all(F.col(t), gapped, F.lit(2))).otherwise(none)
-        chunk_cols[work[len(BASE) + k]] = F.arrays_zip(_lengths(whole).alias("w"), match.alias("m"))
+        chunk_cols[work[len(BASE) + k]] = matches(f"{c.chars}{{{c.width}}}", f"({c.chars}{{{c.width},}})", w=0, text=2)
     out = out.withColumns(chunk_cols)
     for k, (kind, _, _, _, least) in enumerate(BASE):
         a = F.col(work[k])
@@ -155,11 +155,11 @@ def scan(df: DataFrame, text: str = "text", *, classes: tuple[EntropyClass, ...]
     for k, c in enumerate(classes):
         a = F.col(work[len(BASE) + k])
         ends = _running(F.transform(a, lambda x: x["w"]))
-        kept = F.filter(F.arrays_zip(a.alias("a"), ends.alias("e")), lambda x: x["a"]["m"].rlike(c.need) & ~x["a"]["m"].rlike("|".join(allowed) if allowed else "(?!)"))
-        hot = F.transform(kept, lambda x: F.struct((x["e"] - F.length(x["a"]["m"])).alias("at"), _hot(x["a"]["m"], c).alias("h")))
+        kept = F.filter(F.arrays_zip(a.alias("a"), ends.alias("e")), lambda x: x["a"]["text"].rlike(c.need) & ~x["a"]["text"].rlike("|".join(allowed) if allowed else "(?!)"))
+        hot = F.transform(kept, lambda x: F.struct((x["e"] - F.length(x["a"]["text"])).alias("at"), _hot(x["a"]["text"], c).alias("h")))
         hot = F.filter(hot, lambda x: x["h"]["first"].isNotNull())
         found.append(F.transform(hot, lambda x: F.struct((x["at"] + x["h"]["first"]).alias("start"), F.lit(len(BASE) + k).alias("rank"), (x["at"] + x["h"]["last"] + c.width).alias("end"), F.lit(c.kind).alias("kind"))))
-    out = out.withColumn("secrets", F.when(F.greatest(*(F.size(c) for c in chunk_cols)) > 0, F.array_sort(F.concat(*(f.cast(SPANS) for f in found)))).otherwise(F.array().cast(SPANS)))
+    out = out.withColumn("secrets", F.when(F.greatest(*(F.col(c).isNotNull() for c in chunk_cols)), F.array_sort(F.concat(*(F.coalesce(f.cast(SPANS), F.array().cast(SPANS)) for f in found)))).otherwise(F.array().cast(SPANS)))
     return out.drop(t, *chunk_cols)
 
 
