@@ -1,14 +1,16 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe, secretscan, shard
+from tidelog.llm import bpe, decontam, secretscan, shard
 
 QUERIES = {
+    "op1_decontaminate": decontam.op1_decontaminate,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op6_secret_scan": secretscan.op6_secret_scan,
     "op9_feistel_shards": shard.op9_feistel_shards,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontam.ORACLE,
     "op6_secret_scan": secretscan.ORACLE,
     "op9_feistel_shards": shard.ORACLE,
 }
