@@ -1,16 +1,18 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe, decontam, secretscan, shard
+from tidelog.llm import bpe, decontam, secretscan, shard, topk
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_pivot_topk": topk.op3_pivot_topk,
     "op6_secret_scan": secretscan.op6_secret_scan,
     "op9_feistel_shards": shard.op9_feistel_shards,
 }
 
 ORACLES = {
     "op1_decontaminate": decontam.ORACLE,
+    "op3_pivot_topk": topk.ORACLE,
     "op6_secret_scan": secretscan.ORACLE,
     "op9_feistel_shards": shard.ORACLE,
 }
