@@ -1,12 +1,13 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe, decontam, secretscan, shard, topk
+from tidelog.llm import bpe, decontam, secretscan, shard, tokencount, topk
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_pivot_topk": topk.op3_pivot_topk,
     "op6_secret_scan": secretscan.op6_secret_scan,
+    "op8_section_tokens": tokencount.op8_section_tokens,
     "op9_feistel_shards": shard.op9_feistel_shards,
 }
 
