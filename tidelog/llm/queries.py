@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe, decontam, secretscan, shard, tokencount, topk
+from tidelog.llm import bpe, decontam, minhash, secretscan, shard, tokencount, topk
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_secret_scan": secretscan.op6_secret_scan,
     "op8_section_tokens": tokencount.op8_section_tokens,
     "op9_feistel_shards": shard.op9_feistel_shards,
+    "op10_bbit_minhash": minhash.op10_bbit_minhash,
 }
 
 ORACLES = {
@@ -16,4 +17,5 @@ ORACLES = {
     "op3_pivot_topk": topk.ORACLE,
     "op6_secret_scan": secretscan.ORACLE,
     "op9_feistel_shards": shard.ORACLE,
+    "op10_bbit_minhash": minhash.ORACLE,
 }
