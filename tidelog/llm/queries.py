@@ -1,11 +1,12 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tidelog.llm import bpe, decontam, minhash, secretscan, shard, tokencount, topk
+from tidelog.llm import bpe, decontam, minhash, secretscan, shard, substring, tokencount, topk
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_pivot_topk": topk.op3_pivot_topk,
+    "op4_repeated_passages": substring.op4_repeated_passages,
     "op6_secret_scan": secretscan.op6_secret_scan,
     "op8_section_tokens": tokencount.op8_section_tokens,
     "op9_feistel_shards": shard.op9_feistel_shards,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontam.ORACLE,
     "op3_pivot_topk": topk.ORACLE,
+    "op4_repeated_passages": substring.ORACLE,
     "op6_secret_scan": secretscan.ORACLE,
     "op9_feistel_shards": shard.ORACLE,
     "op10_bbit_minhash": minhash.ORACLE,
