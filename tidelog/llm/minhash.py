@@ -10,9 +10,10 @@
    bits lies over six standard deviations below the threshold are dropped, the
    others are confirmed on their full sets, and confirmed links make components.
 4. Only buckets whose members are still in several components are taken further:
-   their pairs across components, estimated the same way, are confirmed too. So
-   no link between components is lost that shares a bucket, and a group that
-   hangs together costs its size, not the square.
+   their pairs across components are confirmed too, if they share a rare shingle
+   or can be alike without one, and their estimate allows it. So no link between
+   components is lost that shares a bucket, and a group that hangs together, or
+   whose members have edits of their own, costs its size, not the square.
 
 At a similarity of 0.85 two documents share no bucket with probability
 (1 - 0.85 ** 5) ** 28, below 1e-7.
@@ -34,6 +35,8 @@ common.ship(__name__)
 SHINGLE, BANDS, ROWS, BITS = 5, 28, 5, 2
 HASHES = BANDS * ROWS
 PACKED = -(-HASHES // 32)  # longs of 32 fields of 2 bits
+#: Sets that have a rare shingle, at most.
+RARE = 8
 #: Ids up to so many (16 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 FEATURES = "id long, n_shingles long, k1 long, k2 long, bands array<long>, packed array<long>"
@@ -142,18 +145,49 @@ def _least_estimate(threshold: float) -> float:
     return threshold - 6 * sqrt(p * (1 - p) / HASHES) / (1 - 2.0**-BITS)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, percent: int, n: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """id, shingles of the documents in ids (id), cut."""
+    ids = common.cut(ids)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     picked = picked.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")  # checked size
-    sets = common.cut(shingle_sets(picked, "id", "t", n).dropDuplicates(["id"]))
+    return common.cut(shingle_sets(picked, "id", "t", n).dropDuplicates(["id"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
     return sized.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
 
 
+def _across(parts: DataFrame, sets: DataFrame, least: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components that can be linked.
+
+    A shingle in RARE of the sets at most is rare. A pair shares one, and is
+    found by it; or it shares none, and then its intersection is no larger than
+    either set without its rare shingles, and its union no smaller than either
+    set with the other's. Near copies with edits of their own fail that bound.
+    """
+    rows = sets.select(F.col("id").alias("v"), F.explode("shingles").alias("s"))
+    rare = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
+    own = common.cut(rows.join(rare, "s"))
+    member = parts.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("rare")), "v", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    member = common.cut(member.select("h", "v", "label", "n_shingles", "packed", "rare"))
+    info = member.select("v", "label", "n_shingles", "packed").distinct()
+    side = lambda df, x: df.select(*[F.col(c).alias(x + c) for c in df.columns])
+    alike = (F.least("an_shingles", "bn_shingles") * 100 >= F.greatest("an_shingles", "bn_shingles") * percent) & (estimate(F.col("apacked"), F.col("bpacked")) >= least)
+    left, right = side(member, "a"), side(member, "b")
+    inter = F.least(F.col("an_shingles") - F.col("arare"), F.col("bn_shingles") - F.col("brare"))
+    union = F.greatest(F.col("an_shingles") + F.col("brare"), F.col("bn_shingles") + F.col("arare"))
+    bound = inter * 100 >= union * percent
+    without = left.join(right, (F.col("ah") == F.col("bh")) & (F.col("av") < F.col("bv")) & (F.col("alabel") != F.col("blabel")) & bound & alike)
+    several = own.filter("df > 1").select("s", "v")
+    sharing = side(several, "a").join(side(several, "b"), (F.col("as") == F.col("bs")) & (F.col("av") < F.col("bv"))).select("av", "bv").distinct()  # RARE members at most
+    sharing = sharing.join(side(info, "a"), "av").join(side(info, "b"), "bv").filter((F.col("alabel") != F.col("blabel")) & alike)
+    return without.select(F.col("av").alias("a"), F.col("bv").alias("b")).union(sharing.select("av", "bv")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id, kept.
 
@@ -183,18 +217,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return y.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("pa"), F.col("pb")) >= least)).select("a", "b")
 
     stars = common.cut(likely(members.filter("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()))
-    linked = common.cut(_confirmed(stars, docs, id_col, text, percent, shingle))
+    ends = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    linked = common.cut(_confirmed(stars, _sets_of(ends, docs, id_col, text, shingle), percent))
     labels = graph.components(linked)
     # pairs across components, in buckets that still have several
     tagged = members.join(labels, "v", "left").select("h", "v", F.coalesce("label", "v").alias("label"))
     open_ = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
     parts = common.cut(tagged.join(open_, "h").join(slim, "v"))
-    x = parts.select("h", F.col("v").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("packed").alias("pa"))
-    y = parts.select("h", F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("packed").alias("pb"))
-    cross = x.join(y, (x["h"] == y["h"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("pa"), F.col("pb")) >= least))
-    more = common.cut(cross.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        labels = graph.components(linked.union(common.cut(_confirmed(more, docs, id_col, text, percent, shingle))))
+    if parts.limit(1).count():
+        sets = _sets_of(parts.select(F.col("v").alias("id")).distinct(), docs, id_col, text, shingle)
+        more = common.cut(_across(parts, sets, least, percent).join(stars, ["a", "b"], "left_anti"))
+        labels = graph.components(linked.union(common.cut(_confirmed(more, sets, percent))))
     whole = all_.select("id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(labels, "v", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "v")).otherwise(F.col("id"))
     return whole.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
