@@ -99,7 +99,7 @@ def _spread(flags: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
 
 def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
     """doc, m (the minimizer): those that another document has too."""
-    buckets = 8 * parts
+    buckets = 2 * parts
 
     def send(batches):
         for batch in batches:
@@ -148,7 +148,7 @@ def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int) -> DataF
 
 def paths(marked: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
     """node, next, doc, start, length, digest: the nonbranching paths of marked (doc, text, marks: its repeated minimizers)."""
-    buckets = 8 * parts
+    buckets = 2 * parts
 
     def send(batches):
         for batch in batches:
@@ -211,6 +211,21 @@ def paths(marked: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
     return back.repartition(parts, "doc").sortWithinPartitions("doc", "pos").mapInArrow(between, "node long, next int, doc long, start int, length int, digest long")
 
 
+def _together(batches):
+    """Overlapping and touching spans of a document as one, within a batch; rows come by document and start."""
+    for batch in batches:
+        doc, start, end = (batch.column(i).to_numpy() for i in range(3))
+        if not len(doc):
+            yield batch
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        nth = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(doc)))).astype(np.int64) << 32
+        reach = np.maximum.accumulate(nth + end)  # a later document's numbers are all larger
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (nth[1:] + start[1:] > reach[:-1])])
+        at = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at]), pa.array((np.maximum.reduceat(reach, at) - nth[at]).astype(np.int32))], names=["doc", "start", "end"])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, k: int = K, gram: int = GRAM) -> DataFrame:
     """One row for each row of docs: the id, n_words, n_removed, kept_text, removed (array<struct<start, end>>, words).
 
@@ -236,7 +251,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = common.cut(paths(marked, k, gram, parts))
     key = ["node", "next", "length", "digest"]
     source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("last")).filter("last > source").select(*key, "source")
-    spans = found.join(source, key).filter("doc > source").select("doc", F.struct("start", (F.col("start") + F.col("length") + (k - 1)).alias("end")).alias("span"))
+    spans = found.join(source, key).filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
+    spans = spans.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(_together, "doc long, start int, end int").select("doc", F.struct("start", "end").alias("span"))
     whole = copies.select("doc", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(True).alias("copy"))
     gone = common.cut(spans.groupBy("doc").agg(F.collect_list("span").cast("array<struct<start:int,end:int>>").alias("spans")).withColumn("copy", F.lit(False)).union(whole))
     size = gone.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
