@@ -97,7 +97,7 @@ class Codec:
 def char_spans(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters [start, end) that each token touches; tokens that share a split character both have it."""
     before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])  # characters begun before each byte
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     first = before[np.minimum(starts + 1, len(text))] - 1
     return first, before[ends]
 
