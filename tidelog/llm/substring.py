@@ -251,6 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = common.cut(paths(marked, k, gram, parts))
     key = ["node", "next", "length", "digest"]
     source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("last")).filter("last > source").select(*key, "source")
+    source = common.cut(source)  # read back, so that the join below is of two plain shuffles, whose hot keys Spark splits
     spans = found.join(source, key).filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
     spans = spans.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(_together, "doc long, start int, end int").select("doc", F.struct("start", "end").alias("span"))
     whole = copies.select("doc", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(True).alias("copy"))
