@@ -143,3 +143,28 @@ def test_percentiles_and_bootstrap(spark):
 def test_flatten(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": 2.5, "d": {"e": true, "f": "x", "g": 3}}}')], "id int, j string")
     assert {r.path: r.number for r in report.flatten(df, "j", ["id"]).collect()} == {"a": 1.0, "b.c": 2.5, "b.d.g": 3.0}
+
+
+def test_two_levels_and_files(spark, tmp_path):
+    from tidelog.sources import reports
+
+    rows = [("s", "c", "x", "load", b, t, sec, None, None, 10.0 * t) for t in (1, 2, 3) for b, sec in (("engine", 1.0 * t), ("other", 2.0 * t))]
+    reports.write_lines(spark.createDataFrame(rows, reports.ROWS), str(tmp_path / "lines"))
+    back = report.duration(reports.read_lines(spark, str(tmp_path / "lines")))
+    r = report.two_levels(back, "engine", "other").first()
+    assert (r.median, r.other_median, r.ratio_median, r.ratio_least, r.ratio_most, r.peak_rss) == (2.0, 4.0, 2.0, 2.0, 2.0, 20.0)
+    reports.write_csv(report.first_metric(back, ["us", "seconds"]), str(tmp_path / "csv"))
+    assert {x.metric for x in spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()} == {"seconds"}
+
+
+@pytest.mark.parametrize("style, workload, want", [("full", "append", (21, 2, 16384)), ("size_tiered", "append", (21, 2, 16384)), ("full", "hot", (21, 2, 8320))])
+def test_policies_merge_as_often_as_published(style, workload, want):
+    """64 flushes of 128 records over 8192 seeded keys, threshold 4: merges, files and records left."""
+    runs, merges = {1: set(range(8192))}, 0
+    for i in range(64):
+        runs[max(runs) + 1] = set(range(8192 + 128 * i, 8320 + 128 * i)) if workload == "append" else set(range(128))
+        while ids := compaction.pick([(n, 153 * len(k)) for n, k in runs.items()], style, 4):
+            new = max(runs) + 1
+            runs[new] = set().union(*(runs.pop(n) for n in ids))
+            merges += 1
+    assert (merges, len(runs), sum(map(len, runs.values()))) == want

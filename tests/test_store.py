@@ -277,3 +277,26 @@ def test_streaming_ingest(spark, tmp_path):
     q = streaming.newest(stream).writeStream.format("memory").queryName("newest").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {bytes(r.key): r.seq for r in spark.table("newest").collect()} == {b"a": 3, b"b": 2}
+
+
+def test_lifecycle(spark, tmp_path):
+    """Load, open again, read, update half, delete a quarter, compact, verify."""
+    path, n = str(tmp_path / "s"), 400
+    key = lambda i: struct.pack(">Q", 2 * i)
+    with Store(spark, path, Options(memtable_size_limit=16 << 10)) as s:
+        for lo in range(0, n, 50):
+            b = WriteBatch()
+            for i in range(lo, lo + 50):
+                b.put(key(i), b"0" * 64)
+            s.write_batch(b)
+    with Store(spark, path) as s:
+        assert s.seq == n and s.scan().count() == n and s.get(struct.pack(">Q", 7)) is None
+        b = WriteBatch()
+        for i in range(0, n, 2):
+            b.put(key(i), b"1" * 64)
+        for i in range(0, n, 4):
+            b.delete(key(i))
+        s.write_batch(b)
+        s.compact()
+        assert dict(content(s)) == {key(i): (b"0" if i % 2 else b"1") * 64 for i in range(n) if i % 4}
+        assert len(s.manifest.runs) == 1 and s.write_amplification() > 0

@@ -72,9 +72,8 @@ def bloom_probes(bits_per_key: int) -> int:
     return min(20, max(1, int(0.69 * bits_per_key)))
 
 
-#: Offset basis and prime of the public FNV-1a hash (64 bits), and the multipliers of its finaliser.
+#: Offset basis and prime of the public FNV-1a hash (64 bits).
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-FINAL_MULTIPLIERS = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
 def fnv1a(data: bytes) -> int:

@@ -123,6 +123,14 @@ def nearest_rank(values: list[float], percent: int) -> float | None:
     return sorted(values)[(len(values) - 1) * percent // 100] if values and len(values) >= NEEDED.get(percent, 1) else None
 
 
+def two_levels(rows: DataFrame, current: str, other: str, keys: list[str] = ["case", "scenario", "stage"]) -> DataFrame:  # noqa: B006
+    """keys, median, other_median, ratio_median, ratio_least, ratio_most, peak_rss: medians of both backends, their trials' ratios, and the median of the current one's memory (peak_rss of rows)."""
+    own = rows.filter(F.col("backend") == current).groupBy(*keys).agg(F.median("duration").alias("median"), F.median("peak_rss").alias("peak_rss"))
+    theirs = rows.filter(F.col("backend") == other).groupBy(*keys).agg(F.median("duration").alias("other_median"))
+    ratios = summary(paired_ratios(rows, current, other, "duration", keys), "ratio", keys).select(*keys, F.col("median").alias("ratio_median"), F.col("least").alias("ratio_least"), F.col("most").alias("ratio_most"))
+    return own.join(theirs, keys).join(ratios, keys).select(*keys, "median", "other_median", "ratio_median", "ratio_least", "ratio_most", "peak_rss")
+
+
 def strided(rows: DataFrame, order: str, most: int = 10_000) -> DataFrame:
     """Every ceil(n / most)-th row in the order of a column that counts from 0 without gaps."""
     stride = max(1, math.ceil(rows.count() / most))
