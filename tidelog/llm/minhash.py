@@ -173,7 +173,7 @@ def _across(parts: DataFrame, sets: DataFrame, least: Column, percent: int) -> D
     rare = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
     own = common.cut(rows.join(rare, "s"))
     member = parts.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("rare")), "v", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
-    member = common.cut(member.select("h", "v", "label", "n_shingles", "packed", "rare"))
+    member = common.cut(member.select("h", "v", "label", "n_shingles", "packed", "bands", "rare"))
     info = member.select("v", "label", "n_shingles", "packed").distinct()
     side = lambda df, x: df.select(*[F.col(c).alias(x + c) for c in df.columns])
     alike = (F.least("an_shingles", "bn_shingles") * 100 >= F.greatest("an_shingles", "bn_shingles") * percent) & (estimate(F.col("apacked"), F.col("bpacked")) >= least)
@@ -181,7 +181,8 @@ def _across(parts: DataFrame, sets: DataFrame, least: Column, percent: int) -> D
     inter = F.least(F.col("an_shingles") - F.col("arare"), F.col("bn_shingles") - F.col("brare"))
     union = F.greatest(F.col("an_shingles") + F.col("brare"), F.col("bn_shingles") + F.col("arare"))
     bound = inter * 100 >= union * percent
-    without = left.join(right, (F.col("ah") == F.col("bh")) & (F.col("av") < F.col("bv")) & (F.col("alabel") != F.col("blabel")) & bound & alike)
+    first = F.get(F.filter(F.zip_with("abands", "bbands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("ah")  # of their common buckets
+    without = left.join(right, (F.col("ah") == F.col("bh")) & (F.col("av") < F.col("bv")) & (F.col("alabel") != F.col("blabel")) & bound & alike & first)
     several = own.filter("df > 1").select("s", "v")
     sharing = side(several, "a").join(side(several, "b"), (F.col("as") == F.col("bs")) & (F.col("av") < F.col("bv"))).select("av", "bv").distinct()  # RARE members at most
     sharing = sharing.join(side(info, "a"), "av").join(side(info, "b"), "bv").filter((F.col("alabel") != F.col("blabel")) & alike)
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # pairs across components, in buckets that still have several
     tagged = members.join(labels, "v", "left").select("h", "v", F.coalesce("label", "v").alias("label"))
     open_ = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    parts = common.cut(tagged.join(open_, "h").join(slim, "v"))
+    parts = common.cut(tagged.join(open_, "h").join(reps, "v"))
     if parts.limit(1).count():
         sets = _sets_of(parts.select(F.col("v").alias("id")).distinct(), docs, id_col, text, shingle)
         more = common.cut(_across(parts, sets, least, percent).join(stars, ["a", "b"], "left_anti"))
