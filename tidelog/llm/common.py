@@ -157,7 +157,7 @@ def words(data: np.ndarray, rows: np.ndarray, apart: np.ndarray = SPACE) -> tupl
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of the bytes of each word."""
     out = np.empty(len(starts), np.uint64)
-    values, step, i = byte_values(seed), 1 << 22, 0
+    values, step, i = byte_values(seed), 1 << 20, 0
     inverse = _odd_inverse(BYTE_BASE)
     with np.errstate(over="ignore"):
         while i < len(starts):
