@@ -34,6 +34,13 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_tidelog_worker", types.ModuleType("_tidelog_worker")).__dict__.setdefault("cache", {})
 
 
+def make_room() -> None:
+    """Drops the vocabularies and automata that earlier operators left in this worker; they are made again where needed."""
+    cache = worker_cache()
+    for k in [k for k in cache if isinstance(k, tuple) or str(k).startswith("automaton ")]:
+        del cache[k]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -108,6 +108,7 @@ def features(docs: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> DataF
     common.prepare(docs.sparkSession)
 
     def run(batches):
+        common.make_room()
         for batch in batches:
             yield _features(batch.column(0), batch.column(1), n)
 
@@ -119,6 +120,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> D
     common.prepare(docs.sparkSession)
 
     def run(batches):
+        common.make_room()
         for batch in batches:
             sh, at, _, _ = shingles(batch.column(1), n)
             sets = [np.unique(sh[at[r] : at[r + 1]]) for r in range(len(at) - 1)]
