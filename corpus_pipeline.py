@@ -14,6 +14,8 @@ from tidelog.llm import bpe, common, decontam, langid, linededup, minhash
 
 #: Ids up to so many (8 bytes each) are broadcast to pick rows; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
+#: Least similarity of near-duplicates, in percent.
+PERCENT = 80
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -36,8 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    found = minhash.near_duplicates(docs)
+    """One document of each group at a similarity of 0.8: the one with the smallest id."""
+    found = minhash.near_duplicates(docs, percent=PERCENT)
     return _without(docs, found.filter("not kept")).select(docs.columns)
 
 
