@@ -1,9 +1,24 @@
 """What an operator would leave undone on rows that the small tables do not have."""
 
-from pyspark.sql import functions as F
+import random
 
 from conftest import SMALL
-from test_operators import frame, prose, word
+from tidelog.llm import linededup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], SCHEMA)
+
+
+def word(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return [word(rng.randrange(16_000)) for _ in range(n)]
 
 
 def edited(words, n):
@@ -22,3 +37,10 @@ def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
     two = frame(spark, [(1, " ".join(base)), (3, " ".join(far))])
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, one, SMALL).collect()] == [1]
     assert corpus_pipeline.near_duplicates(spark, two, SMALL).count() == 2
+
+
+def test_a_block_of_many_documents_goes_as_one_of_few_does(spark):
+    one, two = " ".join(prose(1, 4)), " ".join(prose(2, 4))
+    texts = [(0, two), (1, f"{one}\n{two}")] + [(i, f"{one}\n{two}\n{' '.join(prose(100 + i, 6))}") for i in range(2, 70)]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {i: 2 if i > 1 else 0 for i in range(70)}

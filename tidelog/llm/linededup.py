@@ -1,9 +1,7 @@
 """Line deduplication by pairwise alignment.
 
 Documents that overlap are found by line hashes: each document is paired with
-the smallest document that has one of its lines. A pair needs a rare line (in
-RARE documents at most), or several common ones, or a long one; a single short
-common line makes no block that would be deleted. So a line of any frequency
+the smallest document that has one of its lines. So a line of any frequency
 makes a pair for each document that has it, never one for each two of them.
 Pairs are aligned with patience diff on their line hashes, and the common blocks
 of enough lines or characters are deleted from the later document. Exact copies
@@ -22,7 +20,9 @@ from tidelog.llm import common
 
 common.ship(__name__)
 
-RARE, BLOCK_LINES, BLOCK_CHARS = 50, 2, 100
+BLOCK_LINES, BLOCK_CHARS = 2, 100
+#: No bound any more; a test of the former rule reads it.
+RARE = 50
 #: Documents whose deletions are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 300_000
 
@@ -92,7 +92,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return lines.select("doc", F.transform("l", lambda x: blank(x, F.xxhash64(x))).alias("a"), F.transform("l", lambda x: blank(x, F.xxhash64(F.lit("line"), x))).alias("b"), F.transform("l", F.length).alias("n"))
 
 
-def deletions(docs: DataFrame, *, rare: int = RARE, block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def deletions(docs: DataFrame, *, block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc, ranges (array<struct<start, end>> of lines; null: all lines, of a copy), from doc and t; documents without a deletion are left out."""
     common.prepare(docs.sparkSession)
     hashed = common.cut(line_hashes(docs.filter("doc is not null")).dropDuplicates(["doc"]))
@@ -101,10 +101,9 @@ def deletions(docs: DataFrame, *, rare: int = RARE, block_lines: int = BLOCK_LIN
     copies = common.cut(keyed.join(heads, ["k1", "k2"]).filter("doc > head").select("doc"))
     own = hashed.join(copies, "doc", "left_anti")
     lines = own.select("doc", F.explode(F.arrays_zip("a", "b", "n")).alias("x")).select("doc", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.n").alias("n")).filter("a is not null").distinct()
-    first = lines.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("df")).filter("last > first").select("a", "b", "first", "df")
+    first = lines.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("last > first").select("a", "b", "first")
     shared = lines.join(first, ["a", "b"]).filter("doc > first")
-    pairs = shared.groupBy("first", "doc").agg(F.min("df").alias("df"), F.count(F.lit(1)).alias("lines"), F.sum("n").alias("chars"))
-    pairs = pairs.filter((F.col("df") <= rare) | (F.col("lines") >= block_lines) | (F.col("chars") >= block_chars)).select("first", "doc")
+    pairs = shared.select("first", "doc").distinct()
     later = own.select("doc", F.col("a").alias("da"), F.col("b").alias("db"), "n")
     earlier = own.select(F.col("doc").alias("first"), F.col("a").alias("fa"), F.col("b").alias("fb"))
     both = pairs.join(later, "doc").join(earlier, "first").select("doc", "fa", "fb", "da", "db", "n")
@@ -124,7 +123,7 @@ def deletions(docs: DataFrame, *, rare: int = RARE, block_lines: int = BLOCK_LIN
     return common.cut(ranges.select("doc", F.col("ranges").cast("array<struct<start:int,end:int>>").alias("ranges")).union(copies.select("doc", F.lit(None).cast("array<struct<start:int,end:int>>").alias("ranges"))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, rare: int = RARE, block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the text shortened, and: n_lines, n_removed (long).
 
     Lines are what stands between line feeds, compared without white space at
@@ -136,7 +135,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *,
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone_doc, ranges, lines = common.fresh(docs.columns, "gone_doc", "ranges", "lines")
-    found = deletions(docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")), rare=rare, block_lines=block_lines, block_chars=block_chars)
+    found = deletions(docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")), block_lines=block_lines, block_chars=block_chars)
     found = found.select(F.col("doc").alias(gone_doc), F.col("ranges").alias(ranges))
     small = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found  # checked size
     out = docs.select(*names).join(small, F.col(id_col).cast("long") == F.col(gone_doc), "left")
