@@ -1,11 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found by line hashes: each document is paired with
-the smallest document that has one of its lines. So a line of any frequency
-makes a pair for each document that has it, never one for each two of them.
-Pairs are aligned with patience diff on their line hashes, and the common blocks
-of enough lines or characters are deleted from the later document. Exact copies
-are found by a hash of all lines and lose all of them.
+Documents that overlap are found by block keys: hashes of so many adjacent lines
+that a block needs, or of fewer with enough characters, blank lines between them
+counted. Each document is paired with the smallest document that has one of its
+keys: each block that any earlier document shares is made of such keys. A key of
+any frequency makes a pair for each document that has it, never one for each two
+of them. Pairs are aligned with patience diff on their line hashes, and the
+common blocks of enough lines or characters are deleted from the later document,
+those too that the alignment leaves out since they are moved or repeated. Exact
+copies are found by a hash of all lines and lose all of them.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import common
@@ -85,6 +88,30 @@ def common_blocks(a: list, b: list, sizes: list[int], lines: int, chars: int) ->
     return out
 
 
+def windows(a: list, sizes: list[int], lines: int, chars: int):
+    """(key, start, end) of each run of lines that are not blank, or have blank ones between, of so many lines or of fewer with enough characters."""
+    full = [i for i, x in enumerate(a) if x[0] is not None]
+    for k in range(len(full)):
+        size = 0
+        for w in range(1, min(lines, len(full) - k) + 1):
+            size += sizes[full[k + w - 1]]
+            if w == lines or size >= chars:
+                yield tuple(a[full[k] : full[k + w - 1] + 1]), full[k], full[k + w - 1] + 1
+
+
+def moved_blocks(a: list, b: list, sizes: list[int], taken: list[tuple[int, int]], lines: int, chars: int) -> list[tuple[int, int]]:
+    """[start, end) of b's windows that stand anywhere in a and not in a block already taken."""
+    block = [-1] * len(b)
+    for k, (lo, hi) in enumerate(taken):
+        block[lo:hi] = [k] * (hi - lo)
+    left = [(x, s, e) for x, s, e in windows(b, sizes, lines, chars) if block[s] < 0 or block[s] != block[e - 1]]
+    if not left:
+        return []
+    known = dict(zip(b, sizes, strict=True))  # windows of a with other lines match nothing
+    there = {x for x, _, _ in windows(a, [known.get(x, 0) for x in a], lines, chars)}
+    return [(s, e) for x, s, e in left if x in there]
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
     """doc, a, b (two hashes of each trimmed line, null of a blank one), n (its characters) from doc and t."""
     lines = docs.select("doc", F.transform(F.split("t", "\n", -1), lambda x: F.trim(F.translate(x, "\t\r", "  "))).alias("l"))
@@ -92,6 +119,25 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return lines.select("doc", F.transform("l", lambda x: blank(x, F.xxhash64(x))).alias("a"), F.transform("l", lambda x: blank(x, F.xxhash64(F.lit("line"), x))).alias("b"), F.transform("l", F.length).alias("n"))
 
 
+def block_keys(hashed: DataFrame, lines: int, chars: int) -> DataFrame:
+    """doc, k1, k2 (two hashes) of each of windows(): its lines and how far they stand from the first."""
+    full = hashed.select("doc", F.filter(F.transform("a", lambda x, i: F.struct(i.alias("i"), x.alias("a"), F.get("b", i).alias("b"), F.get("n", i).alias("n"))), lambda x: x["a"].isNotNull()).alias("l"))
+
+    def of(w: int) -> Column:
+        def key(s: Column) -> Column:
+            x = [F.get("l", s + k) for k in range(w)]
+            size = sum((y["n"] for y in x[1:]), x[0]["n"])
+            apart = [y["i"] - x[0]["i"] for y in x[1:]]
+            out = F.struct(F.xxhash64(*[y["a"] for y in x], *apart).alias("k1"), F.xxhash64(*[y["b"] for y in x], *apart).alias("k2"))
+            return out if w == lines else F.when(size >= chars, out)
+
+        found = F.transform(F.sequence(F.lit(0), F.size("l") - w), key)
+        return F.filter(F.when(F.size("l") >= w, found).otherwise(F.array().cast("array<struct<k1:bigint,k2:bigint>>")), lambda x: x.isNotNull())
+
+    keys = full.select("doc", F.explode(F.concat(*[of(w) for w in range(1, lines + 1)])).alias("k"))
+    return keys.select("doc", "k.k1", "k.k2")
+
+
 def deletions(docs: DataFrame, *, block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc, ranges (array<struct<start, end>> of lines; null: all lines, of a copy), from doc and t; documents without a deletion are left out."""
     common.prepare(docs.sparkSession)
@@ -100,10 +146,9 @@ def deletions(docs: DataFrame, *, block_lines: int = BLOCK_LINES, block_chars: i
     heads = keyed.groupBy("k1", "k2").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("last > head")
     copies = common.cut(keyed.join(heads, ["k1", "k2"]).filter("doc > head").select("doc"))
     own = hashed.join(copies, "doc", "left_anti")
-    lines = own.select("doc", F.explode(F.arrays_zip("a", "b", "n")).alias("x")).select("doc", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.n").alias("n")).filter("a is not null").distinct()
-    first = lines.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("last > first").select("a", "b", "first")
-    shared = lines.join(first, ["a", "b"]).filter("doc > first")
-    pairs = shared.select("first", "doc").distinct()
+    keys = block_keys(own, block_lines, block_chars)
+    first = keys.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("last > first").select("k1", "k2", "first")
+    pairs = keys.join(first, ["k1", "k2"]).filter("doc > first").select("first", "doc").distinct()
     later = own.select("doc", F.col("a").alias("da"), F.col("b").alias("db"), "n")
     earlier = own.select(F.col("doc").alias("first"), F.col("a").alias("fa"), F.col("b").alias("fb"))
     both = pairs.join(later, "doc").join(earlier, "first").select("doc", "fa", "fb", "da", "db", "n")
@@ -112,7 +157,9 @@ def deletions(docs: DataFrame, *, block_lines: int = BLOCK_LINES, block_chars: i
         for batch in batches:
             docs_, starts, ends = [], [], []
             for doc, fa, fb, da, db, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for lo, hi in common_blocks(list(zip(fa, fb, strict=True)), list(zip(da, db, strict=True)), n, block_lines, block_chars):
+                x, y = list(zip(fa, fb, strict=True)), list(zip(da, db, strict=True))
+                blocks = common_blocks(x, y, n, block_lines, block_chars)
+                for lo, hi in blocks + moved_blocks(x, y, n, blocks, block_lines, block_chars):
                     docs_.append(doc)
                     starts.append(lo)
                     ends.append(hi)
