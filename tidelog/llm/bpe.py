@@ -105,6 +105,7 @@ def char_spans(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def codec(ranks: str | None, merges: str | None, pattern: str | None) -> Codec:
     cache, key = common.worker_cache(), ("codec", ranks, merges, pattern)
     if key not in cache:
+        common.make_room()
         cache[key] = Codec(ranks, merges, pattern)
     return cache[key]
 

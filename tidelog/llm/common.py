@@ -7,6 +7,9 @@ so that no Python object is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -39,6 +42,15 @@ def make_room() -> None:
     cache = worker_cache()
     for k in [k for k in cache if isinstance(k, tuple) or str(k).startswith("automaton ")]:
         del cache[k]
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that Python, Arrow and the C library hold free back to the system; a worker is reused and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

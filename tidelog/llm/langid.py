@@ -109,6 +109,7 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     n = len(keys)
 
     def run(batches):
+        common.make_room()
         logs = given.value
         for batch in batches:
             data, rows = common.buffers(batch.column(n))

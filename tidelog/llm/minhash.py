@@ -111,6 +111,7 @@ def features(docs: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> DataF
         common.make_room()
         for batch in batches:
             yield _features(batch.column(0), batch.column(1), n)
+        common.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, FEATURES)
 
@@ -127,6 +128,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> D
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+        common.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, shingles array<long>")
 
