@@ -90,3 +90,15 @@ def test_lines_equal_a_comparison_with_all_earlier_documents(spark, lines, chars
     texts[95] = texts[3]
     got = linededup.dedup_lines(frame(spark, list(texts.items())).repartition(5), block_lines=lines, block_chars=chars).collect()
     assert left(got) == blocks_by_hand(texts, lines, chars)
+
+
+def test_numbers_at_any_depth(spark):
+    import json
+
+    from tidelog.operators import report
+
+    deep = 1.5
+    for k in "gfedcba":
+        deep = {k: deep, "n": True}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, '{"x": 2}'), (3, None)], "id int, j string")
+    assert {(r.id, r.path, r.number) for r in report.flatten(rows, "j", ["id"]).collect()} == {(1, "a.b.c.d.e.f.g", 1.5), (2, "x", 2.0)}

@@ -31,21 +31,19 @@ def duration(rows: DataFrame) -> DataFrame:
 def flatten(rows: DataFrame, json_column: str, keys: list[str]) -> DataFrame:
     """keys, path, number: the numbers of a JSON text under dotted paths; truth values and what is not finite are left out.
 
-    A level is expanded at a time, as deep as the deepest of NESTING levels.
+    A level is expanded at a time, until no object is left; each level but the
+    first is looked for by a job.
     """
     level = rows.select(*keys, F.lit("").alias("path"), F.col(json_column).alias("j"))
     out = None
-    for _ in range(NESTING):
+    while True:
         pairs = level.select(*keys, "path", F.explode(F.from_json("j", "map<string,string>")).alias("k", "v")).select(*keys, F.concat("path", "k").alias("path"), "v")
         number = F.expr("try_cast(v as double)")
         leaf = pairs.filter(~F.col("v").startswith("{") & ~F.col("v").isin("true", "false")).select(*keys, "path", number.alias("number")).filter(F.col("number").isNotNull() & ~F.isnan("number") & (F.abs("number") < float("inf")))
         out = leaf if out is None else out.union(leaf)
         level = pairs.filter(F.col("v").startswith("{")).select(*keys, F.concat("path", F.lit(".")).alias("path"), F.col("v").alias("j"))
-    return out
-
-
-#: Levels of nested objects that flatten() expands.
-NESTING = 4
+        if level.isEmpty():
+            return out
 
 
 def paired_ratios(rows: DataFrame, current: str, other: str, measure: str = "duration", keys: list[str] = GROUP) -> DataFrame:
