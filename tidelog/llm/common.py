@@ -1,8 +1,9 @@
 """What the corpus operators share: table access, shared scratch space, word splitting and hashing.
 
-Word hashing works on whole Arrow buffers: a random 64-bit value per byte, a
-running polynomial sum modulo 2**64 over the batch, and one subtraction a word,
-so that no Python object is made for a word.
+Word hashing works on whole Arrow buffers: eight bytes of every word at a time are
+mixed into its state, so that no Python object is made for a word. It is a chain,
+not a polynomial, so texts of a regular build do not collide; digests of whole
+texts are cryptographic, and those of spans are taken in a prime field.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import sys
 import tempfile
 import types
@@ -96,22 +98,39 @@ def fresh(columns, *names: str) -> list[str]:
 
 # --- words ---------------------------------------------------------------
 
-def _odd_inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
 def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser, on unsigned 64-bit integers."""
+    """The splitmix64 finaliser, on unsigned 64-bit integers (its constants are fixed values)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """n odd numbers that depend on nothing but their place."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed)) | np.uint64(1)
+
+
+#: The prime of the spans' digests, and their base.
+PRIME, BASE = (1 << 61) - 1, 0x0DB4F0B9175AE2165 % ((1 << 61) - 1)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME; both are below it."""
+    low, mid = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    ah, al, bh, bl = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    m = ah * bl + al * bh
+    r = ((ah * bh) << np.uint64(1)) + (m >> np.uint64(30)) + ((m & mid) << np.uint64(31)) + al * bl
+    return reduced(r)
+
+
+def reduced(r: np.ndarray) -> np.ndarray:
+    r = (r & np.uint64(PRIME)) + (r >> np.uint64(61))
+    return np.where(r >= np.uint64(PRIME), r - np.uint64(PRIME), r)
+
+
 def powers(n: int, base: int, name: str) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept by the worker."""
+    """base**0 .. base**(n-1) modulo PRIME, kept by the worker."""
     cache = worker_cache()
     got = cache.get(name)
     if got is None or len(got) < n:
@@ -119,18 +138,28 @@ def powers(n: int, base: int, name: str) -> np.ndarray:
         got = np.empty(size, np.uint64)
         got[0] = 1
         done = 1
-        with np.errstate(over="ignore"):
-            while done < size:
-                step = min(done, size - done)
-                got[done : done + step] = got[:step] * np.uint64(pow(base, done, 1 << 64))
-                done += step
+        while done < size:
+            step = min(done, size - done)
+            got[done : done + step] = times(got[:step], np.full(step, pow(base, done, PRIME), np.uint64))
+            done += step
         if size <= 1 << 24:
             cache[name] = got
     return got[:n]
 
 
-def byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed))
+def running(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The sums, modulo PRIME, of values * BASE**place before each place of the array; one more than values."""
+    x = times(reduced(values), powers(int(place.max()) + 1, BASE, "base powers")[place]) if len(values) else values
+    low, high = np.zeros(len(x) + 1, np.uint64), np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x & np.uint64((1 << 31) - 1), out=low[1:])
+    np.cumsum(x >> np.uint64(31), out=high[1:])
+    return reduced(times(reduced(high), np.full(len(high), 1 << 31, np.uint64)) + reduced(low))
+
+
+def between(before: np.ndarray, after: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """From running sums before and behind a span, and its first place: its digest, wherever it stands."""
+    back = powers(int(start.max()) + 1 if len(start) else 1, pow(BASE, -1, PRIME), "base inverses")[start]
+    return times(reduced(after + np.uint64(PRIME) - before), back)
 
 
 #: Bytes that end a word: space and 0x09 to 0x0D.
@@ -173,19 +202,36 @@ def words(data: np.ndarray, rows: np.ndarray, apart: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, rows)
 
 
+#: The first so many bytes of eight.
+PART = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
+    """A 64-bit hash of the bytes of each word: its length, then eight bytes after eight are mixed in."""
     out = np.empty(len(starts), np.uint64)
-    values, step, i = byte_values(seed), 1 << 20, 0
-    inverse = _odd_inverse(BYTE_BASE)
+    step, i = 1 << 20, 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
             lo, hi = int(starts[i]), int(ends[j - 1])
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(values[data[lo:hi]] * powers(hi - lo, BYTE_BASE, "byte_powers"), out=total[1:])
-            s, e = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((total[e] - total[s]) * powers(hi - lo, inverse, "byte_inverses")[s] + (e - s).astype(np.uint64))
+            s, n = starts[i:j] - lo, ends[i:j] - starts[i:j]
+            h = mix(n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+            short = np.flatnonzero(n <= LONG_WORD)
+            if len(short):
+                whole = np.zeros(-(-(hi - lo) // 8) + 2, np.uint64)
+                whole.view(np.uint8)[: hi - lo] = data[lo:hi]
+                at, left, rows = s[short], n[short], short
+                while len(rows):
+                    unit, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+                    x = (whole[unit] >> shift) | (whole[unit + 1] << np.uint64(1) << (np.uint64(63) - shift))
+                    h[rows] = mix(h[rows] ^ (x & PART[np.minimum(left, 8)]))
+                    more = np.flatnonzero(left > 8)
+                    at, left, rows = at[more] + 8, left[more] - 8, rows[more]
+            for k in np.flatnonzero(n > LONG_WORD):
+                h[k] = int.from_bytes(hashlib.blake2b(data[lo + s[k] : lo + s[k] + n[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+            out[i:j] = h
             i = j
     return out
 
@@ -197,6 +243,6 @@ def hash_windows(words_: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         out = np.zeros(m, np.uint64)
-        for k in range(n):
-            out = out * np.uint64(WORD_BASE) + words_[k : k + m]
+        for k, a in enumerate(multipliers(n, n)):
+            out += words_[k : k + m] * a
         return mix(out)

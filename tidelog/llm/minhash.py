@@ -1,8 +1,8 @@
 """Near-duplicate groups by b-bit MinHash, with every link confirmed on full shingle sets.
 
 1. One pass over the texts makes, for each document, its number of distinct
-   shingles, a 128-bit key of its word sequence, BANDS band hashes over ROWS
-   minima each, and the low BITS bits of all minima, packed.
+   shingles, a 128-bit cryptographic key of its word sequence, BANDS band hashes
+   over ROWS minima each, and the low BITS bits of all minima, packed.
 2. Documents of one word sequence are a class; only its smallest id goes on, so
    thousands of exact copies cost one row each.
 3. Members of a band bucket are paired with the bucket's smallest member (not
@@ -12,8 +12,12 @@
 4. Only buckets whose members are still in several components are taken further:
    their pairs across components are confirmed too, if they share a rare shingle
    or can be alike without one, and their estimate allows it. So no link between
-   components is lost that shares a bucket, and a group that hangs together, or
-   whose members have edits of their own, costs its size, not the square.
+   components is lost that shares a bucket. Two documents that can be alike
+   without a rare shingle are not both rich in rare ones, and only those that are
+   not are paired in their buckets: a group that hangs together, or whose members
+   have edits of their own, costs its size. Members of one bucket in different
+   components whose edits are common ones (in over RARE of the sets) still cost
+   the square of their number.
 
 At a similarity of 0.85 two documents share no bucket with probability
 (1 - 0.85 ** 5) ** 28, below 1e-7.
@@ -21,6 +25,7 @@ At a similarity of 0.85 two documents share no bucket with probability
 
 from __future__ import annotations
 
+import hashlib
 from math import sqrt
 
 import numpy as np
@@ -47,13 +52,11 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return x[:HASHES] | np.uint64(1), x[HASHES:]
 
 
-def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all shingles, each row's first (one more than rows), all word hashes, each row's first word.
+def shingles(data: np.ndarray, rows: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of lower-cased bytes, and each row's first, one more than rows.
 
     A row of fewer than n words, but not none, has its whole sequence as one.
     """
-    data, rows = common.buffers(texts)
-    data = common.lower_ascii(data)
     starts, ends, first = common.words(data, rows)
     hashed = common.hash_words(data, starts, ends)
     count = np.diff(first)
@@ -67,41 +70,43 @@ def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     out[full] = window[where[full]]
     for r in np.flatnonzero((count > 0) & (count < n)):
         out[at[r]] = common.hash_windows(np.concatenate([hashed[first[r] : first[r + 1]], np.array([count[r]], np.uint64)]), int(count[r]) + 1)[0]
-    return out, at, hashed, first
+    return out, at
+
+
+def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, rows = common.buffers(texts)
+    return common.lower_ascii(data), rows
 
 
 def _features(ids: pa.Array, texts: pa.Array, n: int) -> pa.RecordBatch:
-    sh, at, hashed, first = shingles(texts, n)
+    data, rows = _lowered(texts)
+    sh, at = shingles(data, rows, n)
     size = len(at) - 1
     n_sh = np.array([len(np.unique(sh[at[r] : at[r + 1]])) for r in range(size)], np.int64)
-    keys = np.zeros((2, size), np.uint64)
-    has = np.flatnonzero(np.diff(first) > 0)
+    # bytes.split() parts at exactly 0x20 and 0x09 to 0x0D
+    keys = np.array([np.frombuffer(hashlib.blake2b(b" ".join(data[lo:hi].tobytes().split()), digest_size=16).digest(), np.int64) for lo, hi in zip(rows[:-1], rows[1:], strict=True)], np.int64).reshape(size, 2)
+    has = np.flatnonzero(np.diff(at) > 0)
     a, b = _seeds()
     minima = np.zeros((size, HASHES), np.uint32)
     with np.errstate(over="ignore"):
-        if len(has):
-            place = np.arange(len(hashed)) - np.repeat(first[:-1], np.diff(first))
-            for k, salt in enumerate((0x51ED270B, 0xB492B66F)):
-                x = common.mix(hashed ^ np.uint64(salt)) * common.powers(int(place.max()) + 1, common.WORD_BASE, "word_powers")[place]
-                keys[k, has] = common.mix(np.add.reduceat(x, first[has]) + np.diff(first)[has].astype(np.uint64))
         i = 0
         while i < len(has):  # some ten thousand shingles at a time stay in the CPU's cache
             j = max(i + 1, int(np.searchsorted(at[has], at[has[i]] + 30_000)))
-            rows = has[i:j]
-            part, cuts = sh[at[rows[0]] : at[rows[-1] + 1]], at[rows] - at[rows[0]]
+            some = has[i:j]
+            part, cuts = sh[at[some[0]] : at[some[-1] + 1]], at[some] - at[some[0]]
             for k in range(HASHES):
-                minima[rows, k] = (np.minimum.reduceat(part * a[k] + b[k], cuts) >> np.uint64(32)).astype(np.uint32)
+                minima[some, k] = (np.minimum.reduceat(part * a[k] + b[k], cuts) >> np.uint64(32)).astype(np.uint32)
             i = j
         m = minima.astype(np.uint64).reshape(size, BANDS, ROWS)
         h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (size, 1))
         for k in range(ROWS):
-            h = common.mix(h * np.uint64(common.WORD_BASE) + m[:, :, k])
+            h = common.mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, k])
         low = np.zeros((size, PACKED * 32), np.uint64)
         low[:, :HASHES] = minima & ((1 << BITS) - 1)
         packed = (low.reshape(size, PACKED, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64)
     def lists(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.reshape(-1).view(np.int64)))
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n_sh), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists(h), lists(packed)], names=["id", "n_shingles", "k1", "k2", "bands", "packed"])
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n_sh), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(h), lists(packed)], names=["id", "n_shingles", "k1", "k2", "bands", "packed"])
 
 
 def features(docs: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> DataFrame:
@@ -123,7 +128,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> D
     def run(batches):
         common.make_room()
         for batch in batches:
-            sh, at, _, _ = shingles(batch.column(1), n)
+            sh, at = shingles(*_lowered(batch.column(1)), n)
             sets = [np.unique(sh[at[r] : at[r + 1]]) for r in range(len(at) - 1)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -181,16 +186,20 @@ def _across(parts: DataFrame, sets: DataFrame, least: Column, percent: int) -> D
     info = member.select("v", "label", "n_shingles", "packed").distinct()
     side = lambda df, x: df.select(*[F.col(c).alias(x + c) for c in df.columns])
     alike = (F.least("an_shingles", "bn_shingles") * 100 >= F.greatest("an_shingles", "bn_shingles") * percent) & (estimate(F.col("apacked"), F.col("bpacked")) >= least)
-    left, right = side(member, "a"), side(member, "b")
+    # of a pair that passes the bound, the one with fewer rare shingles is poor in them
+    poor = lambda x: (F.col(x + "n_shingles") - F.col(x + "rare")) * 100 >= (F.col(x + "n_shingles") + F.col(x + "rare")) * percent
+    left, right = side(member, "a").filter(poor("a")), side(member, "b")
     inter = F.least(F.col("an_shingles") - F.col("arare"), F.col("bn_shingles") - F.col("brare"))
     union = F.greatest(F.col("an_shingles") + F.col("brare"), F.col("bn_shingles") + F.col("arare"))
     bound = inter * 100 >= union * percent
     first = F.get(F.filter(F.zip_with("abands", "bbands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("ah")  # of their common buckets
-    without = left.join(right, (F.col("ah") == F.col("bh")) & (F.col("av") < F.col("bv")) & (F.col("alabel") != F.col("blabel")) & bound & alike & first)
+    once = ~poor("b") | (F.col("av") < F.col("bv"))
+    without = left.join(right, (F.col("ah") == F.col("bh")) & once & (F.col("alabel") != F.col("blabel")) & bound & alike & first)
+    without = without.select(F.least("av", "bv").alias("a"), F.greatest("av", "bv").alias("b"))
     several = own.filter("df > 1").select("s", "v")
     sharing = side(several, "a").join(side(several, "b"), (F.col("as") == F.col("bs")) & (F.col("av") < F.col("bv"))).select("av", "bv").distinct()  # RARE members at most
     sharing = sharing.join(side(info, "a"), "av").join(side(info, "b"), "bv").filter((F.col("alabel") != F.col("blabel")) & alike)
-    return without.select(F.col("av").alias("a"), F.col("bv").alias("b")).union(sharing.select("av", "bv")).distinct()
+    return without.union(sharing.select("av", "bv")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:

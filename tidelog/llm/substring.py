@@ -6,13 +6,15 @@ Words are tokens, windows of K words are edges between nodes of K - 1 words.
 2. Every window has a minimizer (its smallest GRAM-word hash), which depends on
    its words only. A document sends its distinct minimizers, in buckets; those
    that a second document has come back. Windows with another one are unique.
-3. The windows left are edges. Each of their nodes goes to its bucket with the
-   words before and behind it; a node where these differ between occurrences,
-   or end, is branching, and only branching nodes come back. What lies between
-   two of them in a document is a nonbranching path: one row, whatever its length.
-4. Paths are joined on first node, next word, length and an independent digest
-   of all their words, taken from the source coordinates; so a path is matched
-   with its smallest document only where the whole span is equal.
+3. The windows left are edges. Each of their nodes goes to its bucket with a hash
+   of the words before and behind it; a node where these differ between
+   occurrences, or end, is branching, and only branching nodes come back. What
+   lies between two of them in a document is a nonbranching path: one row,
+   whatever its length.
+4. Paths are joined on first node, length, last node and a digest of the words
+   between, taken from the source coordinates in a prime field over a second word
+   hash; so a path is matched with its smallest document only where the whole
+   span is equal.
 5. Words under a path that a smaller document has are removed.
 
 A hot minimizer or node sends one row for each Arrow batch, not for each document,
@@ -37,10 +39,11 @@ BROADCAST_DOCS, BROADCAST_SPANS = 300_000, 2_000_000
 LAST = np.iinfo(np.uint64).max
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(texts: pa.Array, seeds: tuple[int, ...] = (1,)) -> tuple[np.ndarray, ...]:
+    """The word hashes of each seed, and each row's first word, one more than rows."""
     data, rows = common.buffers(texts)
     starts, ends, first = common.words(data, rows)
-    return common.hash_words(data, starts, ends), first
+    return *(common.hash_words(data, starts, ends, seed) for seed in seeds), first
 
 
 def minimizers(words: np.ndarray, first: np.ndarray, k: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +155,12 @@ def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int) -> DataF
 
 
 def paths(marked: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
-    """node, next, doc, start, length, digest: the nonbranching paths of marked (doc, text, marks: its repeated minimizers)."""
+    """node, last, doc, start, length, digest: the nonbranching paths of marked (doc, text, marks: its repeated minimizers)."""
     buckets = 2 * parts
 
     def send(batches):
         for batch in batches:
-            words, first = _hashed(batch.column(1))
+            words, other, first = _hashed(batch.column(1), (1, 2))
             at, best = minimizers(words, first, k, gram)
             row = np.searchsorted(first, at, "right") - 1
             marks = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
@@ -172,48 +175,47 @@ def paths(marked: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
             g = common.hash_windows(words, k - 1)
             row = np.searchsorted(first, node_at, "right") - 1
             local = node_at - first[row]
-            low = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            came = np.where(before[node_at], low[np.maximum(node_at - 1, 0)], 0).astype(np.uint32)
-            goes = np.where(edge[node_at], low[np.minimum(node_at + k - 1, len(words) - 1)] if len(words) else 0, 0).astype(np.uint32)
-            place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+            # one number for both neighbours; below 2 where one of them is missing, and odd where a window starts
             with np.errstate(over="ignore"):
-                other = common.mix(words ^ np.uint64(0x6A09E667F3BCC909)) * common.powers(int(place.max()) + 1 if len(place) else 1, common.WORD_BASE, "word_powers")[place] if len(words) else words
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(other, dtype=np.uint64)])
-                prefix = total[node_at] - total[first[row]]
+                both = common.mix(words[np.maximum(node_at - 1, 0)] + common.mix(words[np.minimum(node_at + k - 1, len(words) - 1)])) if len(words) else words
+            starts = edge[node_at].astype(np.uint64)
+            side = np.where(before[node_at] & edge[node_at], both | np.uint64(3), starts)
+            place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+            prefix = _since(common.running(other, place), node_at, first[row])
             node, doc = g[node_at], batch.column(0).to_numpy()[row]
             bucket = (node % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            yield pa.RecordBatch.from_arrays(_blobs(bucket[order], [x[order] for x in (node, came, goes, doc, local.astype(np.int32), prefix)]), names=["bucket", "node", "came", "goes", "doc", "pos", "prefix"])
+            yield pa.RecordBatch.from_arrays(_blobs(bucket[order], [x[order] for x in (node, side, doc, local.astype(np.int32), prefix)]), names=["bucket", "node", "side", "doc", "pos", "prefix"])
 
     def branching(batches):
-        for _, (node, came, goes, doc, pos, prefix) in _by_bucket(batches, (np.uint64, np.uint32, np.uint32, np.int64, np.int32, np.uint64)):
+        for _, (node, side, doc, pos, prefix) in _by_bucket(batches, (np.uint64, np.uint64, np.int64, np.int32, np.uint64)):
             order, begins = _groups(node)
-            c, g = came[order], goes[order]
-            lo_c, lo_g = np.minimum.reduceat(c, begins), np.minimum.reduceat(g, begins)
-            branch = (lo_c != np.maximum.reduceat(c, begins)) | (lo_g != np.maximum.reduceat(g, begins)) | (lo_c == 0) | (lo_g == 0)
-            back = order[_spread(branch, begins, len(order))]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[back]), pa.array(pos[back]), pa.array(node[back].view(np.int64)), pa.array(goes[back].view(np.int32)), pa.array(prefix[back].view(np.int64))], names=["doc", "pos", "node", "next", "prefix"])
+            x = side[order]
+            least = np.minimum.reduceat(x, begins)
+            back = order[_spread((least != np.maximum.reduceat(x, begins)) | (least < 2), begins, len(order))]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[back]), pa.array(pos[back]), pa.array(node[back].view(np.int64)), pa.array((side[back] & np.uint64(1)).astype(bool)), pa.array(prefix[back].view(np.int64))], names=["doc", "pos", "node", "goes", "prefix"])
 
     def between(batches):
-        inverse = pow(common.WORD_BASE, -1, 1 << 64)
         last = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if last is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(last, cols, strict=True)]
             if len(cols[0]):
                 last = [x[-1:] for x in cols]
             doc, pos, node, goes, prefix = cols
-            ok = (doc[1:] == doc[:-1]) & (goes[:-1] != 0) & (pos[1:] > pos[:-1])
-            i = np.flatnonzero(ok)
-            with np.errstate(over="ignore"):
-                shift = common.powers(int(pos.max()) + 1 if len(pos) else 1, inverse, "word_inverses")
-                digest = common.mix((prefix[i + 1].view(np.uint64) - prefix[i].view(np.uint64)) * shift[pos[i]] + common.mix(node[i + 1].view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(goes[i]), pa.array(doc[i]), pa.array(pos[i]), pa.array((pos[i + 1] - pos[i]).astype(np.int32)), pa.array(digest.view(np.int64))], names=["node", "next", "doc", "start", "length", "digest"])
+            i = np.flatnonzero((doc[1:] == doc[:-1]) & goes[:-1] & (pos[1:] > pos[:-1]))
+            digest = common.between(prefix[i].view(np.uint64), prefix[i + 1].view(np.uint64), pos[i])
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[i + 1]), pa.array(doc[i]), pa.array(pos[i]), pa.array(pos[i + 1] - pos[i]), pa.array(digest.view(np.int64))], names=["node", "last", "doc", "start", "length", "digest"])
+
+    sent = marked.mapInArrow(send, "bucket int, node binary, side binary, doc binary, pos binary, prefix binary")
+    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(branching, "doc long, pos int, node long, goes boolean, prefix long")
+    return back.repartition(parts, "doc").sortWithinPartitions("doc", "pos").mapInArrow(between, "node long, last long, doc long, start int, length int, digest long")
+
 
-    sent = marked.mapInArrow(send, "bucket int, node binary, came binary, goes binary, doc binary, pos binary, prefix binary")
-    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(branching, "doc long, pos int, node long, next int, prefix long")
-    return back.repartition(parts, "doc").sortWithinPartitions("doc", "pos").mapInArrow(between, "node long, next int, doc long, start int, length int, digest long")
+def _since(sums: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums from a row's first word on, modulo the digests' prime."""
+    return common.reduced(sums[at] + np.uint64(common.PRIME) - sums[first])
 
 
 def _together(batches):
@@ -254,8 +256,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     marks = repeated_minimizers(distinct, k, gram, parts).groupBy("doc").agg(F.collect_set("m").alias("marks"))
     marked = distinct.join(marks, "doc").select("doc", "t", "marks")
     found = common.cut(paths(marked, k, gram, parts))
-    key = ["node", "next", "length", "digest"]
-    source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("last")).filter("last > source").select(*key, "source")
+    key = ["node", "last", "length", "digest"]
+    source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("latest")).filter("latest > source").select(*key, "source")
     source = common.cut(source)  # read back, so that the join below is of two plain shuffles, whose hot keys Spark splits
     spans = found.join(source, key).filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
     spans = spans.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(_together, "doc long, start int, end int").select("doc", F.struct("start", "end").alias("span"))
