@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts are a few KB, so a batch is a few MB.
 BATCH_ROWS = 1000
@@ -85,6 +86,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts that the rows of a hot key are dealt to; a key is hot if it has more than one in so many of all rows.
+SALTS = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, by: str) -> DataFrame:
+    """The inner join of left with right, which has each key once and, in weight, the number of left's rows with it.
+
+    Rows of left with a hot key (there are fewer than SALTS of these) are dealt
+    over SALTS parts by a hash of their column by, and right's row goes to each
+    part. right is read twice: it should be cut.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.filter(F.col(weight) * SALTS > total).select(*on).collect()  # fewer than SALTS rows
+    right = right.drop(weight)
+    if not hot:
+        return left.join(right, on)
+    salt, is_hot = fresh([*left.columns, *right.columns], "salt", "is_hot")
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, right.select(*on).schema).withColumn(is_hot, F.lit(True)))  # fewer than SALTS rows
+    dealt = left.join(keys, on, "left").withColumn(salt, F.when(F.col(is_hot), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0)).drop(is_hot)
+    copied = right.join(keys, on, "left").withColumn(salt, F.explode(F.when(F.col(is_hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop(is_hot)
+    return dealt.join(copied, [*on, salt]).drop(salt)
+
+
 def fresh(columns, *names: str) -> list[str]:
     """The names, each with underscores in front until no column is called so."""
     taken, out = {c.lower() for c in columns}, []

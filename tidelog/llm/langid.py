@@ -6,8 +6,9 @@ of EFFECTIVE trigrams at most, since those of a text are not independent.
 Declared markup language and address suffix: how often each language's texts
 come with each declaration, counted over all rows. Host priors: languages by
 host, smoothed towards the domain's, smoothed towards the corpus's, from grouped
-sums; a row's own text is taken off its host's count. The posterior is the
-normalised product.
+sums. A row's own text is taken off all these counts. The posterior is the
+normalised product. A text that an even distribution over all trigrams explains
+better than any of the languages is in none of them, whatever its posterior.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from tidelog.llm import common
 common.ship(__name__)
 
 BUCKETS, TRAIN_DOCS, EFFECTIVE, MAX_LANGUAGES = 1 << 16, 1000, 40.0, 64
+#: Texts of fewer trigrams are not tested for being in none of the languages.
+TESTED = 20
 #: Weight of the level above in host and domain priors, and of an even share in the declarations' table.
 ALPHA, BETA = 5.0, 1.0
 #: A row is rejected under this posterior (that of four languages in doubt is 0.25), or without a letter.
 LEAST = 0.3
+DOMAIN = r"([^.]+\.[^.]+)$"
 #: Hosts whose priors are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 #: Address suffixes that speak for a language (fixed values: ISO 3166 country codes and ISO 639 languages).
@@ -55,10 +59,19 @@ def trigrams(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_docs: int = TRAIN_DOCS) -> TextModel:
-    """The text model; of each language the train_docs rows with the smallest id hash are read. Rows without a text or a language are left out."""
+    """The text model; of each language the train_docs rows with the smallest hash of id and then of text are read.
+
+    Rows without a text or a language are left out; a null id is an id. Hashes
+    are ranked without the texts. More than MAX_LANGUAGES languages are an error.
+    """
     common.prepare(labelled.sparkSession)
-    own = labelled.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(language).alias("language"), F.col(text).alias("t")).filter("t is not null and language is not null")
-    taken = own.withColumn("n", F.row_number().over(Window.partitionBy("language").orderBy("h", "i"))).filter(F.col("n") <= train_docs)
+    own = labelled.select(F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text)).alias("x"), F.col(language).alias("language"), F.col(text).alias("t")).filter("t is not null and language is not null")
+    if len(own.select("language").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    place = F.row_number().over(Window.partitionBy("language").orderBy("h", "x"))
+    first = own.select("language", "h", "x").withColumn("n", place).filter(F.col("n") <= train_docs).select("language", "h", "x").distinct()
+    taken = own.join(F.broadcast(first), ["language", "h", "x"], "left_semi")  # MAX_LANGUAGES x train_docs at most
+    taken = taken.withColumn("n", place).filter(F.col("n") <= train_docs)  # repeated rows may be more
 
     def count(batches):
         for batch in batches:
@@ -73,8 +86,6 @@ def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_doc
 
     languages: dict[str, np.ndarray] = {}
     for r in taken.select("language", "t").mapInArrow(count, "language string, counts binary").toLocalIterator():  # MAX_LANGUAGES x train_docs / batch rows
-        if r.language not in languages and len(languages) >= MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         languages[r.language] = languages.get(r.language, 0) + np.frombuffer(r.counts, np.int64)
     names = sorted(languages)
     if not names:
@@ -100,12 +111,16 @@ def declared_of(html: Column) -> Column:
 
 
 def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
-    """keys, host, domain, declared, suffix (class numbers), ll, best: what is left of df (keys, text, host, declared) once the text is read."""
+    """keys, host, domain, declared, suffix (class numbers), ll, best, gain: what is left of df (keys, text, host, declared) once the text is read.
+
+    gain is the best language's mean log likelihood of a trigram over that of an
+    even distribution; null of a text of fewer than TESTED trigrams.
+    """
     spark = df.sparkSession
     common.prepare(spark)
     names, size = model.languages, len(model.languages)
     given = spark.sparkContext.broadcast(model.logs)  # BUCKETS x MAX_LANGUAGES at most
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("host", T.StringType()), T.StructField("declared", T.StringType()), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType())])
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("host", T.StringType()), T.StructField("declared", T.StringType()), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType()), T.StructField("gain", T.DoubleType())])
     n = len(keys)
 
     def run(batches):
@@ -125,10 +140,12 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
                     total[full, j] = np.add.reduceat(logs[h, j].astype(np.float64), first[full])
             scaled = total * np.minimum(1.0, EFFECTIVE / np.maximum(count, 1))[:, None]
             best = scaled.argmax(1) if size else np.zeros(len(count), np.int64)
+            gain = total.max(1) / np.maximum(count, 1) + np.log(BUCKETS) if size else np.zeros(len(count))
             known = has & bool(size)  # a text too short for a trigram has its priors
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:n], batch.column(n + 1), batch.column(n + 2),
                 pa.array([x if k else None for x, k in zip(scaled, known, strict=True)], pa.list_(pa.float64())), pa.array(best.astype(np.int32), mask=~(known & (count > 0))),
+                pa.array(gain, mask=~(known & (count >= TESTED))),
             ], names=[f.name for f in schema.fields])
 
     out = df.select(*keys, "text", "host", "declared").mapInArrow(run, schema)
@@ -136,7 +153,7 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     suffix = F.regexp_extract("host", r"\.([a-z]{2,})$", 1)
     of_suffix = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
     as_class = lambda c: F.when(c.isNull() | (c == ""), -1).otherwise(F.coalesce(number[c], F.lit(size))) if names else F.lit(-1)
-    return out.select(*keys, "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), as_class(F.col("declared")).alias("declared"), as_class(of_suffix[suffix]).alias("suffix"), "ll", "best")
+    return out.select(*keys, "host", F.regexp_extract("host", DOMAIN, 1).alias("domain"), as_class(F.col("declared")).alias("declared"), as_class(of_suffix[suffix]).alias("suffix"), "ll", "best", "gain")
 
 
 def _counted(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -144,56 +161,78 @@ def _counted(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.filter(F.col("best").isNotNull()).groupBy(key).agg(F.array(*[F.sum((F.col("best") == i).cast("double")) for i in range(size)]).alias("own"))
 
 
-def _smoothed(own: Column, above: Column) -> Column:
-    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
-    return F.zip_with(own, above, lambda n, p: (n + ALPHA * p) / (total + ALPHA))
+def _own(i: Column) -> Column:
+    """What a row adds to the count of language i."""
+    return F.when(i == F.col("best"), 1.0).otherwise(0.0)
+
+
+def _smoothed(counts: Column, above: Column) -> Column:
+    """The shares of the languages; the row itself does not count."""
+    others = F.transform(counts, lambda n, i: F.greatest(F.lit(0.0), n - _own(i)))
+    total = F.aggregate(others, F.lit(0.0), lambda s, x: s + x)
+    return F.zip_with(others, above, lambda n, p: (n + ALPHA * p) / (total + ALPHA))
+
+
+def _numbers(rows) -> Column:
+    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
 
 
 def fuse(seen: DataFrame, model: TextModel, keys: list[str], *, least: float = LEAST) -> DataFrame:
-    """keys, language, posterior, kept, from evidence(). seen is read several times: it should be cut."""
+    """keys, language, posterior, gain, kept, from evidence(). seen is read several times: it should be cut."""
     size = len(model.languages)
     if not size:
-        return seen.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
+        return seen.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), "gain", F.lit(False).alias("kept"))
     # (languages + 2) x languages numbers each
     declared, suffix = np.zeros((size + 2, size)), np.zeros((size + 2, size))
     for r in seen.filter("best is not null").groupBy("declared", "suffix", "best").count().collect():
         declared[r.declared, r.best] += r["count"]
         suffix[r.suffix, r.best] += r["count"]
-    corpus = (declared.sum(0) + BETA) / (declared.sum() + BETA * size)
+    corpus = F.array(*[F.lit(float(x)) for x in declared.sum(0)])
 
     def given_language(table: np.ndarray, at: Column) -> Column:
         """log P(class | language) for each language; no declaration says nothing."""
-        logs = np.log((table[: size + 1] + BETA) / (table[: size + 1].sum(0) + BETA * (size + 1)))
-        rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in logs])
-        return F.when(at >= 0, F.get(rows, at)).otherwise(F.array(*[F.lit(0.0)] * size))
-
-    top = F.array(*[F.lit(float(x)) for x in corpus])
-    domains = _counted(seen.filter("domain <> ''"), "domain", size).select("domain", _smoothed(F.col("own"), top).alias("domain_prior"))
-    hosts = _counted(seen.filter("host <> ''"), "host", size).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    hosts = common.cut(hosts.join(domains, "domain", "left").select("host", F.col("own").alias("host_own"), F.coalesce("domain_prior", top).alias("above")))
-    joined = seen.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts, "host", "left")  # checked size
+        counts, totals = _numbers(table[: size + 1]), F.array(*[F.lit(float(x)) for x in table[: size + 1].sum(0)])
+        logs = F.transform(F.get(counts, at), lambda n, i: F.ln((n - _own(i) + BETA) / (F.get(totals, i) - _own(i) + BETA * (size + 1))))
+        return F.when(at >= 0, logs).otherwise(F.array(*[F.lit(0.0)] * size))
+
+    domains = _counted(seen.filter("domain <> ''"), "domain", size).select("domain", F.col("own").alias("domain_own"))
+    hosts = _counted(seen.filter("host <> ''"), "host", size).withColumn("domain", F.regexp_extract("host", DOMAIN, 1))
+    hosts = common.cut(hosts.join(domains, "domain", "left").select("host", F.col("own").alias("host_own"), "domain_own"))
+    # rows without a host have nothing to look up, and are not dealt by a common key
+    somewhere = seen.filter("host <> ''").join(F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts, "host", "left")  # checked size
+    nowhere = seen.filter("host is null or host = ''")
+    for c in ("host_own", "domain_own"):
+        nowhere = nowhere.withColumn(c, F.lit(None).cast("array<double>"))
+    joined = somewhere.unionByName(nowhere)
     none = F.array(*[F.lit(0.0)] * size)
-    without = F.transform(F.coalesce("host_own", none), lambda n, i: F.greatest(F.lit(0.0), n - F.when(i == F.col("best"), 1.0).otherwise(0.0)))
-    prior = _smoothed(F.col("others"), F.coalesce("above", top))
-    logs = F.zip_with(F.zip_with(F.col("ll"), F.transform(F.col("prior"), lambda p: F.ln(p)), lambda x, y: x + y), F.zip_with(given_language(declared, F.col("declared")), given_language(suffix, F.col("suffix")), lambda x, y: x + y), lambda x, y: x + y)
-    scored = joined.withColumn("others", without).withColumn("prior", prior).withColumn("logs", logs).withColumn("most", F.array_max("logs"))
+    total = float(declared.sum())
+    top = F.transform(corpus, lambda n, i: (n - _own(i) + BETA) / (total - F.when(F.col("best").isNotNull(), 1.0).otherwise(0.0) + BETA * size))
+    above = F.when(F.col("domain_own").isNull(), F.col("top")).otherwise(_smoothed(F.col("domain_own"), F.col("top")))
+    prior = _smoothed(F.coalesce("host_own", none), F.col("above"))
+    both = F.zip_with(given_language(declared, F.col("declared")), given_language(suffix, F.col("suffix")), lambda x, y: x + y)
+    logs = F.zip_with(F.zip_with(F.col("ll"), F.transform(F.col("prior"), lambda p: F.ln(p)), lambda x, y: x + y), both, lambda x, y: x + y)
+    scored = joined.withColumn("top", top).withColumn("above", above).withColumn("prior", prior).withColumn("logs", logs).withColumn("most", F.array_max("logs"))
     posterior = 1.0 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most")))
     names = F.array(*[F.lit(x) for x in model.languages])
-    out = scored.select(*keys, F.get(names, (F.array_position("logs", F.col("most")) - 1).cast("int")).alias("language"), F.coalesce(posterior, F.lit(0.0)).alias("posterior"))
-    return out.withColumn("kept", F.col("language").isNotNull() & (F.col("posterior") >= least))
+    out = scored.select(*keys, F.get(names, (F.array_position("logs", F.col("most")) - 1).cast("int")).alias("language"), F.coalesce(posterior, F.lit(0.0)).alias("posterior"), "gain")
+    return out.withColumn("kept", F.col("language").isNotNull() & (F.col("posterior") >= least) & (F.coalesce("gain", F.lit(0.0)) >= 0))
 
 
 def identify(df: DataFrame, model: TextModel, keys: list[str], *, text: Column, host: Column | None = None, declared: Column | None = None, least: float = LEAST) -> DataFrame:
-    """keys, language, posterior, kept: one row for each row of df.
+    """keys, language, posterior, gain, kept: one row for each row of df.
 
     text, host and declared are columns made of df's. Null and empty texts and
     those without a letter have no language, posterior 0, and are not kept; a
     null or empty host has the corpus's prior, and a missing declaration says
-    nothing. Repeated rows each count. Without labelled rows nothing is kept.
+    nothing. Repeated rows each count. Without labelled rows nothing is kept,
+    nor is a text that none of the languages explains (gain under 0). keys may
+    have any name; one called language, posterior, gain or kept is replaced.
     """
     nothing = F.lit(None).cast("string")
-    rows = df.select(*keys, text.alias("text"), (host if host is not None else nothing).alias("host"), (declared if declared is not None else nothing).alias("declared"))
-    return fuse(common.cut(evidence(rows, model, keys)), model, keys, least=least)
+    own = [k for k in keys if k.lower() not in ("language", "posterior", "gain", "kept")]
+    rows = df.select(F.struct(*own).alias("key"), text.alias("text"), (host if host is not None else nothing).alias("host"), (declared if declared is not None else nothing).alias("declared"))
+    found = fuse(common.cut(evidence(rows, model, ["key"])), model, ["key"], least=least)
+    return found.select(*[F.col("key")[k].alias(k) for k in own], "language", "posterior", "gain", "kept")
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:
@@ -203,7 +242,7 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
     of_pages = identify(pages, model, ["page_id"], text=strip_markup(F.col("html")), host=host_of(F.col("url")), declared=declared_of(F.col("html")))
     of_docs = identify(docs, model, ["doc_id"], text=F.col("text"), host=F.col("source"))
     missing = F.lit(None).cast("long")
-    columns = ["collection", "doc_id", "page_id", "language", "posterior", "kept"]
+    columns = ["collection", "doc_id", "page_id", "language", "posterior", "gain", "kept"]
     return (
         of_docs.withColumns({"collection": F.lit("documents"), "page_id": missing}).select(columns)
         .unionByName(of_pages.withColumns({"collection": F.lit("pages"), "doc_id": missing}).select(columns))

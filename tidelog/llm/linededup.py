@@ -24,8 +24,6 @@ from tidelog.llm import common
 common.ship(__name__)
 
 BLOCK_LINES, BLOCK_CHARS = 2, 100
-#: No bound any more; a test of the former rule reads it.
-RARE = 50
 #: Documents whose deletions are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 300_000
 
@@ -143,15 +141,17 @@ def deletions(docs: DataFrame, *, block_lines: int = BLOCK_LINES, block_chars: i
     common.prepare(docs.sparkSession)
     hashed = common.cut(line_hashes(docs.filter("doc is not null")).dropDuplicates(["doc"]))
     keyed = hashed.filter(F.exists("a", lambda x: x.isNotNull())).select("doc", F.xxhash64("a").alias("k1"), F.xxhash64("b", "n").alias("k2"))
-    heads = keyed.groupBy("k1", "k2").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("last > head")
-    copies = common.cut(keyed.join(heads, ["k1", "k2"]).filter("doc > head").select("doc"))
+    heads = common.cut(keyed.groupBy("k1", "k2").agg(F.min("doc").alias("head"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("rows")).filter("last > head").drop("last"))
+    copies = common.cut(common.spread_join(keyed, heads, ["k1", "k2"], "rows", "doc").filter("doc > head").select("doc"))
     own = hashed.join(copies, "doc", "left_anti")
     keys = block_keys(own, block_lines, block_chars)
-    first = keys.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("last > first").select("k1", "k2", "first")
-    pairs = keys.join(first, ["k1", "k2"]).filter("doc > first").select("first", "doc").distinct()
+    first = common.cut(keys.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("rows")).filter("last > first").drop("last"))
+    pairs = common.cut(common.spread_join(keys, first, ["k1", "k2"], "rows", "doc").filter("doc > first").select("first", "doc").distinct())
+    firsts = common.cut(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("rows")))
     later = own.select("doc", F.col("a").alias("da"), F.col("b").alias("db"), "n")
     earlier = own.select(F.col("doc").alias("first"), F.col("a").alias("fa"), F.col("b").alias("fb"))
-    both = pairs.join(later, "doc").join(earlier, "first").select("doc", "fa", "fb", "da", "db", "n")
+    earlier = common.cut(earlier.join(firsts, "first"))
+    both = common.spread_join(pairs.join(later, "doc"), earlier, ["first"], "rows", "doc").select("doc", "fa", "fb", "da", "db", "n")
 
     def align(batches):
         for batch in batches:

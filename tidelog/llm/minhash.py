@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = common.cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("v")))
     reps = common.cut(usable.join(classes, ["k1", "k2"]).filter("id = v").select("v", "n_shingles", "bands", "packed"))
     rows = reps.select("v", F.explode("bands").alias("h"))
-    heads = rows.groupBy("h").agg(F.min("v").alias("head"), F.max("v").alias("last")).filter("last > head").select("h", "head")
-    members = common.cut(rows.join(heads, "h"))  # of buckets with several members
+    heads = common.cut(rows.groupBy("h").agg(F.min("v").alias("head"), F.max("v").alias("last"), F.count(F.lit(1)).alias("rows")).filter("last > head").select("h", "head", "rows"))
+    members = common.cut(common.spread_join(rows, heads, ["h"], "rows", "v"))  # of buckets with several members
     slim = reps.select("v", "n_shingles", "packed")
     least = F.lit(_least_estimate(percent / 100))
 

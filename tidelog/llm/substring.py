@@ -248,8 +248,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     keyed = given.filter("doc is not null").select("doc", F.sha2("t", 256).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("last > head").select("key", "head")
-    copies = common.cut(keyed.join(heads, "key").filter("doc > head").select("doc").distinct())
+    heads = common.cut(keyed.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > head").select("key", "head", "n"))
+    copies = common.cut(common.spread_join(keyed, heads, ["key"], "n", "doc").filter("doc > head").select("doc").distinct())
     n_copies = copies.count()
     small = F.broadcast(copies) if n_copies <= BROADCAST_DOCS else copies  # checked size
     distinct = given.filter("doc is not null").join(small, "doc", "left_anti")
@@ -257,9 +257,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     marked = distinct.join(marks, "doc").select("doc", "t", "marks")
     found = common.cut(paths(marked, k, gram, parts))
     key = ["node", "last", "length", "digest"]
-    source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("latest")).filter("latest > source").select(*key, "source")
-    source = common.cut(source)  # read back, so that the join below is of two plain shuffles, whose hot keys Spark splits
-    spans = found.join(source, key).filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
+    source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("latest"), F.count(F.lit(1)).alias("n")).filter("latest > source").select(*key, "source", "n")
+    spans = common.spread_join(found, common.cut(source), key, "n", "doc").filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
     spans = spans.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(_together, "doc long, start int, end int").select("doc", F.struct("start", "end").alias("span"))
     whole = copies.select("doc", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(True).alias("copy"))
     gone = common.cut(spans.groupBy("doc").agg(F.collect_list("span").cast("array<struct<start:int,end:int>>").alias("spans")).withColumn("copy", F.lit(False)).union(whole))
