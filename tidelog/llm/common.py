@@ -23,8 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts are a few KB, so a batch is a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; texts are a few KB, so a batch is a few MB, and fewer rows where they are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ship(module: str) -> None:
@@ -63,6 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Bounds the Arrow batches, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:

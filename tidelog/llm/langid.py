@@ -66,10 +66,11 @@ def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_doc
     """
     common.prepare(labelled.sparkSession)
     own = labelled.select(F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text)).alias("x"), F.col(language).alias("language"), F.col(text).alias("t")).filter("t is not null and language is not null")
-    if len(own.select("language").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     place = F.row_number().over(Window.partitionBy("language").orderBy("h", "x"))
     first = own.select("language", "h", "x").withColumn("n", place).filter(F.col("n") <= train_docs).select("language", "h", "x").distinct()
+    first = common.cut(first)
+    if first.select("language").distinct().count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     taken = own.join(F.broadcast(first), ["language", "h", "x"], "left_semi")  # MAX_LANGUAGES x train_docs at most
     taken = taken.withColumn("n", place).filter(F.col("n") <= train_docs)  # repeated rows may be more
 
@@ -83,6 +84,7 @@ def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_doc
                     if x == lang:
                         total += np.bincount(h[first[i] : first[i + 1]], minlength=BUCKETS)
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], names=["language", "counts"])
+        common.trim()
 
     languages: dict[str, np.ndarray] = {}
     for r in taken.select("language", "t").mapInArrow(count, "language string, counts binary").toLocalIterator():  # MAX_LANGUAGES x train_docs / batch rows
@@ -147,6 +149,7 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
                 pa.array([x if k else None for x, k in zip(scaled, known, strict=True)], pa.list_(pa.float64())), pa.array(best.astype(np.int32), mask=~(known & (count > 0))),
                 pa.array(gain, mask=~(known & (count >= TESTED))),
             ], names=[f.name for f in schema.fields])
+        common.trim()
 
     out = df.select(*keys, "text", "host", "declared").mapInArrow(run, schema)
     number = F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)]) if names else None
