@@ -96,17 +96,19 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, b
 
     Rows of left with a hot key (there are fewer than SALTS of these) are dealt
     over SALTS parts by a hash of their column by, and right's row goes to each
-    part. right is read twice: it should be cut.
+    part. Keys are known by a hash; one that shares a hot one's is dealt too. The
+    key's columns have the same types on both sides. right is read twice: it
+    should be cut.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = right.filter(F.col(weight) * SALTS > total).select(*on).collect()  # fewer than SALTS rows
+    hot = [r[0] for r in right.filter(F.col(weight) * SALTS > total).select(F.xxhash64(*on)).collect()]  # fewer than SALTS rows
     right = right.drop(weight)
     if not hot:
         return left.join(right, on)
-    salt, is_hot = fresh([*left.columns, *right.columns], "salt", "is_hot")
-    keys = F.broadcast(left.sparkSession.createDataFrame(hot, right.select(*on).schema).withColumn(is_hot, F.lit(True)))  # fewer than SALTS rows
-    dealt = left.join(keys, on, "left").withColumn(salt, F.when(F.col(is_hot), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0)).drop(is_hot)
-    copied = right.join(keys, on, "left").withColumn(salt, F.explode(F.when(F.col(is_hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop(is_hot)
+    (salt,) = fresh([*left.columns, *right.columns], "salt")
+    is_hot, parts = F.xxhash64(*on).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    dealt = left.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    copied = right.withColumn(salt, F.explode(F.when(is_hot, parts).otherwise(F.array(F.lit(0).cast("long")))))
     return dealt.join(copied, [*on, salt]).drop(salt)
 
 

@@ -17,8 +17,11 @@ Words are tokens, windows of K words are edges between nodes of K - 1 words.
    span is equal.
 5. Words under a path that a smaller document has are removed.
 
-A hot minimizer or node sends one row for each Arrow batch, not for each document,
-where the batch alone shows that it repeats. Buckets are read one after another.
+A minimizer sends one row for each Arrow batch, not for each document, where the
+batch alone shows that it repeats. Nodes that are hot (there are HOT_NODES for a
+document's windows at most, found near hot minimizers) are judged before by a sum
+that is made on the map side: nonbranching ones are not sent at all, branching
+ones are dealt evenly. Buckets are read one after another.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ common.ship(__name__)
 K, GRAM = 13, 5
 #: Documents whose removals are broadcast, and spans in them; more are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 300_000, 2_000_000
-LAST = np.iinfo(np.uint64).max
+#: A node is hot with more occurrences than one in so many documents, and than the least; half as many make a minimizer hot.
+HOT_NODES, LEAST_HOT = 64, 64
 
 
 def _hashed(texts: pa.Array, seeds: tuple[int, ...] = (1,)) -> tuple[np.ndarray, ...]:
@@ -105,8 +109,8 @@ def _spread(flags: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(flags, np.diff(np.append(begins, n)))
 
 
-def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
-    """doc, m (the minimizer): those that another document has too."""
+def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int, hot: int) -> DataFrame:
+    """doc, m (the minimizer): those that another document has too. Without a doc: those that hot documents or more have."""
     buckets = 2 * parts
 
     def send(batches):
@@ -132,7 +136,8 @@ def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int) -> DataF
             tell = known & lead
             bucket = np.concatenate([np.where(known, even, own), own[tell]])
             kind = np.concatenate([known.astype(np.uint8), np.full(tell.sum(), 2, np.uint8)])
-            best, doc = np.concatenate([best, best[tell]]), np.concatenate([doc, doc[tell]])
+            sizes = np.diff(np.append(begins, len(best)))[several]  # told in place of a document
+            best, doc = np.concatenate([best, best[tell]]), np.concatenate([doc, sizes])
             order = np.argsort(bucket, kind="stable")
             yield pa.RecordBatch.from_arrays(_blobs(bucket[order], [best[order], doc[order], kind[order]]), names=["bucket", "m", "doc", "kind"])
 
@@ -146,46 +151,86 @@ def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int) -> DataF
                 several = (np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)) | (np.maximum.reduceat(rest_kind[order], begins) == 2)
                 back = order[_spread(several, begins, len(order))]
                 back = back[rest_kind[back] == 0]
+                often = rest_m[order][begins][np.add.reduceat(np.where(rest_kind[order] == 2, d, 1), begins) >= hot]
             else:
-                back = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[sure], rest_doc[back]])), pa.array(np.concatenate([m[sure], rest_m[back]]).astype(np.int64))], names=["doc", "m"])
+                back, often = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            docs_ = np.concatenate([doc[sure], rest_doc[back], np.zeros(len(often), np.int64)])
+            nobody = np.arange(len(docs_)) >= len(docs_) - len(often)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, mask=nobody), pa.array(np.concatenate([m[sure], rest_m[back], often]).astype(np.int64))], names=["doc", "m"])
 
     sent = docs.mapInArrow(send, "bucket int, m binary, doc binary, kind binary")
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, m long")
 
 
-def paths(marked: DataFrame, k: int, gram: int, parts: int) -> DataFrame:
-    """node, last, doc, start, length, digest: the nonbranching paths of marked (doc, text, marks: its repeated minimizers)."""
+def _occurrences(batch: pa.RecordBatch, k: int, gram: int, digests: bool = True) -> tuple[np.ndarray, ...]:
+    """Of each node next to a marked window: its hash, a number for both neighbours, document, place, digest's sum before it, and the minimizers of the windows behind and before it.
+
+    The number is below 2 where a neighbour is missing, and odd where a window starts.
+    """
+    words, *other, first = _hashed(batch.column(1), (1, 2) if digests else (1,))
+    at, best = minimizers(words, first, k, gram)
+    best = best >> np.uint64(16)
+    row = np.searchsorted(first, at, "right") - 1
+    marks = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+    of = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    with np.errstate(over="ignore"):
+        salted = lambda r, m: common.mix(m + common.mix(r.astype(np.uint64) + np.uint64(1)))
+        edge = np.zeros(len(words) + 1, bool)
+        edge[at[np.isin(salted(row, best), salted(of, marks.flatten().to_numpy().astype(np.uint64)))]] = True
+        before = np.concatenate([[False], edge[:-1]])
+        node_at = np.flatnonzero(edge | before)
+        node_at = node_at[node_at + k - 1 <= len(words)]
+        row = np.searchsorted(first, node_at, "right") - 1
+        both = common.mix(words[np.maximum(node_at - 1, 0)] + common.mix(words[np.minimum(node_at + k - 1, len(words) - 1)])) if len(words) else words
+    side = np.where(before[node_at] & edge[node_at], both | np.uint64(3), edge[node_at].astype(np.uint64))
+    least = np.zeros(len(words) + 1, np.uint64)
+    least[at] = best
+    prefix = None
+    if digests:
+        place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+        prefix = _since(common.running(other[0], place), node_at, first[row])
+    return common.hash_windows(words, k - 1)[node_at], side, batch.column(0).to_numpy()[row], (node_at - first[row]).astype(np.int32), prefix, least[node_at], np.where(before[node_at], least[np.maximum(node_at - 1, 0)], 0)
+
+
+def hot_nodes(marked: DataFrame, often: np.ndarray, k: int, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes (in order) with so many occurrences next to windows with a minimizer in often, and whether each is branching."""
+    given, top = marked.sparkSession.sparkContext.broadcast(often), np.uint64(1 << 63)  # 2 x HOT_NODES for a document's minimizers at most
+
+    def run(batches):
+        for batch in batches:
+            node, side, _, _, _, behind, ahead = _occurrences(batch, k, gram, digests=False)
+            near = np.isin(behind, given.value) | np.isin(ahead, given.value)
+            order, begins = _groups(node[near])
+            x = (side[near] ^ top).view(np.int64)[order]  # in the order of unsigned numbers
+            lo, hi = (np.minimum.reduceat(x, begins), np.maximum.reduceat(x, begins)) if len(begins) else (x, x)
+            yield pa.RecordBatch.from_arrays([pa.array(node[near][order][begins].view(np.int64)), pa.array(np.diff(np.append(begins, len(order)))), pa.array(lo), pa.array(hi)], names=["node", "n", "lo", "hi"])
+
+    found = marked.mapInArrow(run, "node long, n long, lo long, hi long").groupBy("node").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = found.filter(F.col("n") >= least).collect()  # HOT_NODES for a document's windows at most
+    rows.sort(key=lambda r: r.node % (1 << 64))
+    return np.array([r.node for r in rows], np.int64).view(np.uint64), np.array([r.lo != r.hi or r.lo < 2 - (1 << 63) for r in rows], bool)
+
+
+def paths(marked: DataFrame, k: int, gram: int, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, last, doc, start, length, digest: the nonbranching paths of marked (doc, text, marks: its repeated minimizers); hot: hot_nodes()."""
     buckets = 2 * parts
+    given = marked.sparkSession.sparkContext.broadcast(hot)  # HOT_NODES for a document's windows at most
 
     def send(batches):
+        hot_node, is_branching = given.value
         for batch in batches:
-            words, other, first = _hashed(batch.column(1), (1, 2))
-            at, best = minimizers(words, first, k, gram)
-            row = np.searchsorted(first, at, "right") - 1
-            marks = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-            of = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            salted = lambda r, m: common.mix(m + common.mix(r.astype(np.uint64) + np.uint64(1)))
-            with np.errstate(over="ignore"):
-                edge = np.zeros(len(words) + 1, bool)
-                edge[at[np.isin(salted(row, best >> np.uint64(16)), salted(of, marks.flatten().to_numpy().astype(np.uint64)))]] = True
-            before = np.concatenate([[False], edge[:-1]])
-            node_at = np.flatnonzero(edge | before)
-            node_at = node_at[node_at + k - 1 <= len(words)]
-            g = common.hash_windows(words, k - 1)
-            row = np.searchsorted(first, node_at, "right") - 1
-            local = node_at - first[row]
-            # one number for both neighbours; below 2 where one of them is missing, and odd where a window starts
-            with np.errstate(over="ignore"):
-                both = common.mix(words[np.maximum(node_at - 1, 0)] + common.mix(words[np.minimum(node_at + k - 1, len(words) - 1)])) if len(words) else words
-            starts = edge[node_at].astype(np.uint64)
-            side = np.where(before[node_at] & edge[node_at], both | np.uint64(3), starts)
-            place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-            prefix = _since(common.running(other, place), node_at, first[row])
-            node, doc = g[node_at], batch.column(0).to_numpy()[row]
+            node, side, doc, local, prefix, _, _ = _occurrences(batch, k, gram)
             bucket = (node % np.uint64(buckets)).astype(np.int64)
+            if len(hot_node):
+                i = np.minimum(np.searchsorted(hot_node, node), len(hot_node) - 1)
+                known = hot_node[i] == node
+                sure = known & is_branching[i]
+                side = np.where(sure, side & np.uint64(1), side)  # comes back from any bucket
+                bucket = np.where(sure, (common.mix(doc.astype(np.uint64) ^ node) % np.uint64(buckets)).astype(np.int64), bucket)
+                keep = ~known | sure
+                node, side, doc, local, prefix, bucket = (x[keep] for x in (node, side, doc, local, prefix, bucket))
             order = np.argsort(bucket, kind="stable")
-            yield pa.RecordBatch.from_arrays(_blobs(bucket[order], [x[order] for x in (node, side, doc, local.astype(np.int32), prefix)]), names=["bucket", "node", "side", "doc", "pos", "prefix"])
+            yield pa.RecordBatch.from_arrays(_blobs(bucket[order], [x[order] for x in (node, side, doc, local, prefix)]), names=["bucket", "node", "side", "doc", "pos", "prefix"])
 
     def branching(batches):
         for _, (node, side, doc, pos, prefix) in _by_bucket(batches, (np.uint64, np.uint64, np.int64, np.int32, np.uint64)):
@@ -253,9 +298,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     n_copies = copies.count()
     small = F.broadcast(copies) if n_copies <= BROADCAST_DOCS else copies  # checked size
     distinct = given.filter("doc is not null").join(small, "doc", "left_anti")
-    marks = repeated_minimizers(distinct, k, gram, parts).groupBy("doc").agg(F.collect_set("m").alias("marks"))
-    marked = distinct.join(marks, "doc").select("doc", "t", "marks")
-    found = common.cut(paths(marked, k, gram, parts))
+    hot = max(LEAST_HOT, given.count() // HOT_NODES)
+    marks = common.cut(repeated_minimizers(distinct, k, gram, parts, hot // 2).groupBy("doc").agg(F.collect_set("m").alias("marks")))
+    often = [r.m for r in marks.filter("doc is null").select(F.explode("marks").alias("m")).collect()]  # 2 x HOT_NODES for a document's minimizers at most
+    marked = distinct.join(marks.filter("doc is not null"), "doc").select("doc", "t", "marks")
+    none = (np.zeros(0, np.uint64), np.zeros(0, bool))
+    found = common.cut(paths(marked, k, gram, parts, hot_nodes(marked, np.array(often, np.int64).view(np.uint64), k, gram, hot) if often else none))
     key = ["node", "last", "length", "digest"]
     source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("latest"), F.count(F.lit(1)).alias("n")).filter("latest > source").select(*key, "source", "n")
     spans = common.spread_join(found, common.cut(source), key, "n", "doc").filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
