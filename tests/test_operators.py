@@ -1,4 +1,6 @@
 import itertools
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,11 +12,21 @@ from tidelog.operators.ranges import OPEN, KeyRange, excluded, included, prefix_
 from tidelog.schema import LOG, Options
 from tidelog.sources import oplog
 
-RUNS = {
-    7: [(10, b"a", b"old"), (5, b"b", b"live"), (8, b"m", b"old")],
-    4: [(30, b"a", b"newest"), (25, b"b", None), (50, b"m", b"older")],
-    9: [(20, b"a", b"middle"), (60, b"m", b"keep"), (100, b"z", b"filler")],
-}
+def generated_runs(seed, runs=3, keys=9, writes=8):
+    """Runs of (sequence, key, value or None), numbered over all of them in an order that mixes the runs."""
+    rng, out = K.XorShift(seed), {r: {} for r in range(runs)}
+    for seq in range(1, runs * writes + 1):
+        k = bytes([97 + rng.below(keys)]) * (1 + rng.below(2))
+        out[rng.below(runs)][k] = (seq, k, None if rng.below(4) == 0 else b"%d" % seq)
+    return {r: list(x.values()) for r, x in out.items()}
+
+
+def model(records):
+    """The newest version of each key."""
+    newest = {}
+    for seq, k, v in sorted(records):
+        newest[k] = (seq, v)
+    return newest
 
 
 def rows(df):
@@ -23,31 +35,38 @@ def rows(df):
 
 @pytest.mark.parametrize("form", lww.FORMS)
 def test_newest_wins_in_any_run(spark, form):
-    log = oplog.frame(spark, [r for run in RUNS.values() for r in run])
-    assert rows(lww.live(log, form=form)) == {b"a": b"newest", b"m": b"keep", b"z": b"filler"}
+    records = [r for run in generated_runs(5).values() for r in run]
+    want = {k: v for k, (_, v) in model(records).items() if v is not None}
+    assert rows(lww.live(oplog.frame(spark, records), form=form)) == want and len(want) < len(model(records))
 
 
 def test_merge_in_any_order_and_grouping(spark):
-    frames = {i: oplog.frame(spark, r) for i, r in RUNS.items()}
-    expected = {(7, 4, 9)}
-    want = None
-    for order in itertools.permutations(RUNS):
+    runs = generated_runs(11)
+    frames = {i: oplog.frame(spark, r) for i, r in runs.items()}
+    want = sorted((k, seq, v) for k, (seq, v) in model([r for run in runs.values() for r in run]).items())
+    for order in itertools.permutations(runs):
         two = lww.merge_runs([frames[order[0]], frames[order[1]]])
-        got = sorted((bytes(r.key), r.seq, r.value and bytes(r.value)) for r in lww.merge_runs([two, frames[order[2]]]).collect())
-        want = want or got
-        assert got == want
-    assert (b"b", 25, None) in want and expected
+        assert sorted((bytes(r.key), r.seq, r.value and bytes(r.value)) for r in lww.merge_runs([two, frames[order[2]]]).collect()) == want
 
 
 def test_partial_merge_keeps_tombstones(spark):
-    merged = lww.merge_runs([oplog.frame(spark, RUNS[4]), oplog.frame(spark, RUNS[9])])
-    assert {bytes(r.key): r.value for r in merged.collect()}[b"b"] is None
-    dropped = lww.merge_runs([oplog.frame(spark, RUNS[4])], drop_tombstones=True)
-    assert b"b" not in rows(dropped)
+    runs = generated_runs(3)
+    want = {k: v for k, (_, v) in model(runs[0] + runs[1]).items()}
+    merged = lww.merge_runs([oplog.frame(spark, runs[0]), oplog.frame(spark, runs[1])])
+    assert {bytes(r.key): r.value and bytes(r.value) for r in merged.collect()} == want and None in want.values()
+    alone = lww.merge_runs([oplog.frame(spark, runs[2])], drop_tombstones=True)
+    assert rows(alone) == {k: v for _, k, v in runs[2] if v is not None}
+
+
+def test_equal_sequence_numbers(spark):
+    runs = [oplog.frame(spark, [(5, b"k", b"%d" % i), (i + 1, b"m", b"%d" % i), (5, b"n", None if i == 0 else b"x")]) for i in range(3)]
+    assert rows(lww.merge_runs(runs, ties=True, drop_tombstones=True)) == {b"k": b"0", b"m": b"2"}
+    assert rows(lww.merge_runs(runs[::-1], ties=True, drop_tombstones=True)) == {b"k": b"2", b"m": b"2", b"n": b"x"}
 
 
-KEYS = [b"", b"\x00", b"a", b"aa", b"b", b"\xff"]
-BOUNDS = [OPEN, *(f(k) for k in (b"", b"\x00", b"a", b"ab", b"z", b"\xff", b"\xff\xff") for f in (included, excluded))]
+LETTERS = [b"\x00", b"M", b"\xff"]
+KEYS = [b"", *LETTERS, *(x + y for x in LETTERS for y in LETTERS)]
+BOUNDS = [OPEN, *(f(k) for k in [*KEYS[:9:2], b"L", b"MZ", b"\xff\xff\x00"] for f in (included, excluded))]
 
 
 def test_all_pairs_of_bounds(spark):
@@ -58,14 +77,16 @@ def test_all_pairs_of_bounds(spark):
                 KeyRange(lo, hi)
             continue
         r = KeyRange(lo, hi)
-        want = [k for k in KEYS if r.holds(k)]
+        above = lambda k, lo=lo: lo.value is None or (k >= lo.value if lo.included else k > lo.value)
+        below = lambda k, hi=hi: hi.value is None or (k <= hi.value if hi.included else k < hi.value)
+        want = sorted(k for k in KEYS if above(k) and below(k))
+        assert [k for k in sorted(KEYS) if r.holds(k)] == want
         if r.is_empty():
             assert not want
         elif want:
             assert r.overlaps(min(want), max(want))
-        if n % 5 == 0:
+        if n % 7 == 0:
             assert sorted(rows(reads.scan(log, r))) == want
-    assert KeyRange(included(b"a"), included(b"a")).holds(b"a") and not KeyRange(excluded(b"a"), included(b"a")).holds(b"a")
 
 
 def test_prefixes(spark):
@@ -89,31 +110,43 @@ def test_counts_and_empty_logs(spark):
     assert inspection.rotation_charge(empty).first().charge == 0
 
 
-FILES = [(9, 1_000_000), (8, 120), (2, 100), (6, 90), (4, 110), (10, 400), (11, 450), (12, 500)]
+def picked_by_hand(files, threshold):
+    """The oldest files of the smallest power of two that has enough of them, in the order given."""
+    for power in range(63):
+        fit = sorted(i for i, size in files if 2**power <= max(size, 1) < 2 ** (power + 1))
+        if len(fit) >= threshold:
+            return [i for i, _ in files if i in fit[:threshold]]
+    return []
 
 
-@pytest.mark.parametrize(
-    "files, threshold, want",
-    [(FILES, 3, [2, 6, 4]), (FILES, 9, []), ([(1, 127), (2, 128), (3, 255)], 2, [2, 3]), ([(1, 1), (2, 2), (3, 4)], 2, []), ([(1, 2**63 - 1), (2, 2**63 - 2)], 2, [1, 2]), ([(i, 100) for i in range(1024, 0, -1)], 1000, list(range(1000, 0, -1)))],
-)
-def test_tiered_pick(spark, files, threshold, want):
+@pytest.mark.parametrize("seed", range(8))
+def test_tiered_pick(spark, seed):
+    rng = K.XorShift(seed + 1)
+    files, threshold = [(i, rng.next() >> (1 + rng.below(60))) for i in range(rng.below(40))], 2 + rng.below(4)
+    files.sort(key=lambda f: f[1] % 7)
+    want = picked_by_hand(files, threshold)
     assert compaction.pick(files, "size_tiered", threshold) == want
     got = compaction.tiered_pick(spark.createDataFrame(files, "id long, bytes long"), threshold)
     assert sorted(r.id for r in got.collect()) == sorted(want)
+    assert compaction.pick(files, "full", threshold) == ([i for i, _ in files] if len(files) >= threshold else [])
 
 
 def test_fan_in(spark):
-    budget = compaction.BUFFER_BUDGET
-    for costs, want in [([], 0), ([2**62], 1), ([2**60] * 3, 2), ([budget // 4] * 8, 4), ([1] * 17, 16), ([32832] * 7, 7)]:
+    rng = K.XorShift(9)
+    for n in range(0, 24):
+        costs = [1 + rng.below(compaction.BUFFER_BUDGET // (1 + rng.below(20))) for _ in range(n)]
+        fits = max([m for m in range(n + 1) if sum(costs[:m]) <= compaction.BUFFER_BUDGET and m <= 16], default=0)
+        want = min(n, max(2, fits))
         assert compaction.fan_in(costs) == want
-        frame = spark.createDataFrame(list(enumerate(costs)), "pos long, cost long")
-        assert compaction.fan_in_frame(frame).first().inputs == want or not costs
+        if n % 6 == 1:
+            assert compaction.fan_in_frame(spark.createDataFrame(list(enumerate(costs)), "pos long, cost long")).first().inputs == want
 
 
 def test_size_class(spark):
-    for size, want in [(0, 0), (1, 0), (2, 1), (127, 6), (128, 7), (2**48 - 1, 47), (2**48, 48), (2**63 - 1, 62)]:
-        assert K.size_class_of(size) == want
-        assert spark.range(1).select(K.size_class(F.lit(size))).first()[0] == want
+    sizes = [0, *(2**p + d for p in range(0, 63, 5) for d in (-1, 0, 1) if 0 < 2**p + d < 2**63)]
+    assert [K.size_class_of(x) for x in sizes] == [max(x, 1).bit_length() - 1 for x in sizes]
+    got = spark.createDataFrame([(x,) for x in sizes], "x long").select("x", K.size_class(F.col("x")).alias("c")).collect()
+    assert all(r.c == K.size_class_of(r.x) for r in got)
 
 
 def test_ordered_keys(spark):
@@ -128,16 +161,41 @@ def test_options(bad):
     Options(block_cache_capacity=0).validate()
 
 
-def test_percentiles_and_bootstrap(spark):
-    df = spark.createDataFrame([("a", float(i)) for i in range(25)] + [("b", 1.0)], "g string, v double")
-    got = {(r.g, r.percent): r.value for r in report.percentile(df, "v", [50, 95, 99], ["g"]).collect()}
-    assert got == {("a", 50): 12.0, ("a", 95): 22.0, ("a", 99): None, ("b", 50): 1.0, ("b", 95): None, ("b", 99): None}
-    assert report.nearest_rank([float(i) for i in range(25)], 95) == 22.0
-    low, high = report.bootstrap_bounds([0.9, 0.95, 1.0, 0.92, 0.91])
-    ratios = spark.createDataFrame([("x", v) for v in [0.9, 0.95, 1.0, 0.92, 0.91]], "g string, ratio double")
+def test_percentiles(spark):
+    rng = K.XorShift(4)
+    groups = {"a": [float(rng.below(50)) for _ in range(500)], "b": [1.0], "c": [7.5] * 300 + [float(rng.below(10**9)) for _ in range(200)], None: [float(i) for i in range(25)], "d": [None] * 9 + [2.0, 1.0]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    got = {(r.g, r.percent): (r.n, r.value) for r in report.percentile(df, "v", [0, 50, 95, 99, 100], ["g"]).collect()}
+    for g, values in groups.items():
+        placed = sorted(values, key=lambda v: (v is not None, v))
+        for p in (0, 50, 95, 99, 100):
+            enough = len(values) >= {95: 20, 99: 100}.get(p, 1)
+            assert got[g, p] == (len(values), placed[(len(values) - 1) * p // 100] if enough else None), (g, p)
+            if g != "d":
+                assert report.nearest_rank(values, p) == got[g, p][1]
+    assert report.percentile(df.limit(0), "v", [50], ["g"]).count() == 0
+    assert report.percentile(df.filter("g = 'a'"), "v", [50], []).first().value == got["a", 50][1]
+
+
+def test_bootstrap_takes_trials_in_their_order(spark):
+    values = [0.93, 1.08, 0.9, 1.02, 0.97, 0.88, 1.1, 0.95]
+    rng = random.Random(report.SEED)
+    medians = sorted(statistics.median(rng.choices(values, k=len(values))) for _ in range(report.RESAMPLES))
+    ratios = spark.createDataFrame([("x", t, v) for t, v in reversed(list(enumerate(values)))], "g string, trial int, ratio double")
     one = report.bootstrap(ratios, ["g"]).first()
-    assert (one.low, one.high, one.median) == (low, high, 0.92)
-    assert report.regressions(report.bootstrap(ratios, ["g"])).count() == (high < 1)
+    assert (one.low, one.high, one.median) == (medians[report.LOW], medians[report.HIGH], statistics.median(values))
+    slower = report.bootstrap(ratios.withColumn("ratio", F.col("ratio") - 0.2), ["g"])
+    assert report.regressions(slower).count() == 1 and report.regressions(report.bootstrap(ratios.drop("trial"), ["g"])).count() == 0
+
+
+def test_many_ranges_of_all_widths(spark):
+    rng = K.XorShift(21)
+    log = spark.createDataFrame([(rng.below(4000) - 500, i + 1, i if rng.below(5) else None) for i in range(900)], "key long, seq long, value long")
+    alive = {r.key: r.value for r in reads.scan(log).collect()}
+    ranges = [(i, low, low + rng.below(2 ** rng.below(13))) for i, low in enumerate(rng.below(4200) - 600 for _ in range(60))] + [(99, -(2**40), 2**40), (98, 5, 5), (97, 9, 2)]
+    got = reads.many_ranges(log, spark.createDataFrame(ranges, "range_id long, low long, high long"))
+    assert sorted((r.range_id, r.key, r.value) for r in got.collect()) == sorted((i, k, v) for i, lo, hi in ranges for k, v in alive.items() if lo <= k < hi)
+    assert reads.many_ranges(log, spark.createDataFrame([(1, 3, 3)], "range_id long, low long, high long")).collect() == []
 
 
 def test_flatten(spark):
@@ -157,14 +215,11 @@ def test_two_levels_and_files(spark, tmp_path):
     assert {x.metric for x in spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()} == {"seconds"}
 
 
-@pytest.mark.parametrize("style, workload, want", [("full", "append", (21, 2, 16384)), ("size_tiered", "append", (21, 2, 16384)), ("full", "hot", (21, 2, 8320))])
-def test_policies_merge_as_often_as_published(style, workload, want):
-    """64 flushes of 128 records over 8192 seeded keys, threshold 4: merges, files and records left."""
-    runs, merges = {1: set(range(8192))}, 0
-    for i in range(64):
-        runs[max(runs) + 1] = set(range(8192 + 128 * i, 8320 + 128 * i)) if workload == "append" else set(range(128))
-        while ids := compaction.pick([(n, 153 * len(k)) for n, k in runs.items()], style, 4):
-            new = max(runs) + 1
-            runs[new] = set().union(*(runs.pop(n) for n in ids))
-            merges += 1
-    assert (merges, len(runs), sum(map(len, runs.values()))) == want
+def test_numbers_at_any_depth(spark):
+    import json
+
+    deep = 1.5
+    for k in "gfedcba":
+        deep = {k: deep, "n": True}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, '{"x": 2}'), (3, None)], "id int, j string")
+    assert {(r.id, r.path, r.number) for r in report.flatten(rows, "j", ["id"]).collect()} == {(1, "a.b.c.d.e.f.g", 1.5), (2, "x", 2.0)}

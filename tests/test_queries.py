@@ -11,7 +11,7 @@ from tidelog.plans import catalogue
 ROOT = Path(__file__).resolve().parents[1]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalogue.ORACLES if n != "kv_merge_matrix"))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     same(catalogue.QUERIES[name](spark, SMALL), duck.sql(catalogue.ORACLES[name]))
 

@@ -3,6 +3,7 @@ import threading
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog import errors
 from tidelog.engine import Store, WriteBatch
@@ -25,41 +26,70 @@ def no_faults():
     files.FAULTS.clear()
 
 
-def test_versions_in_layers(spark, tmp_path):
+def mutate(rng, keys, n):
+    """n operations (key, value or None) on a few keys of one to three bytes, empty keys and values among them."""
+    return [(bytes([65 + rng.below(keys)]) * rng.below(4), None if rng.below(3) == 0 else b"%d" % rng.below(50) * rng.below(3)) for _ in range(n)]
+
+
+def apply(model, operations):
+    for k, v in operations:
+        if v is None:
+            model.pop(k, None)
+        else:
+            model[k] = v
+
+
+@pytest.mark.parametrize("seed", [2, 31])
+def test_versions_in_layers(spark, tmp_path, seed):
+    """Two runs and memory that shadow each other."""
+    rng, model = XorShift(seed), {}
     with Store(spark, str(tmp_path / "s"), TINY) as s:
-        s.put(b"a", b"old")
-        s.put(b"b", b"gone")
-        s.flush()
-        s.put(b"a", b"middle")
-        s.delete(b"b")
-        s.put(b"c", b"disk")
-        s.flush()
-        s.write_batch(WriteBatch().put(b"a", b"latest").delete(b"c").put(b"d", b"").put(b"e", b"memory"))
-        assert content(s) == [(b"a", b"latest"), (b"d", b""), (b"e", b"memory")]
-        assert s.get(b"d") == b"" and s.get(b"c") is None and s.get(b"b") is None
-        assert content(s, KeyRange(excluded(b"a"), included(b"d"))) == [(b"d", b"")]
-        assert s.seek(b"b") == (b"d", b"") and s.seek(b"e", after=True) is None
-        wanted = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"c"),), (bytearray(b"x"),)], "key binary")
-        assert [bytes(r.value) for r in s.multi_get(wanted).collect()] == [b"latest"]
+        for layer in range(3):
+            operations = mutate(rng, 6, 15)
+            for k, v in operations:
+                s.delete(k) if v is None else s.put(k, v)
+            apply(model, operations)
+            if layer < 2:
+                s.flush()
+        live = sorted(model.items())
+        assert content(s) == live
+        for k in sorted({k for k, _ in mutate(rng, 7, 12)}):
+            assert s.get(k) == model.get(k)
+            assert s.seek(k) == next((x for x in live if x[0] >= k), None) and s.seek(k, after=True) == next((x for x in live if x[0] > k), None)
+        lo, hi = live[0][0], live[-1][0]
+        assert content(s, KeyRange(excluded(lo), included(hi))) == live[1:] and content(s, KeyRange(included(lo), excluded(hi))) == live[:-1]
+        wanted = [*model, b"no such key"]
+        got = s.multi_get(spark.createDataFrame([(bytearray(k),) for k in wanted], "key binary")).collect()
+        assert {bytes(r.key): bytes(r.value) for r in got} == model
 
 
 def test_batches_count_and_last_one_wins(spark, tmp_path):
+    rng, model, count = XorShift(77), {}, 0
     with Store(spark, str(tmp_path / "s"), TINY) as s:
-        s.put(b"deleted", b"old")
-        s.flush()
-        s.put(b"single", b"before")
-        s.write_batch(WriteBatch().put(b"key", b"first").delete(b"key").put(b"key", b"last").delete(b"deleted").put(b"", b"").put(b"\x00\xff", b"\xff\x00"))
-        s.put(b"single", b"after")
-        assert s.seq == 9
-        assert dict(content(s)) == {b"": b"", b"\x00\xff": b"\xff\x00", b"key": b"last", b"single": b"after"}
-        s.write_batch(WriteBatch())
-        assert s.seq == 9
+        for n in (1, 6, 0, 9, 4):
+            operations, b = mutate(rng, 3, n), WriteBatch()
+            for k, v in operations:
+                b.delete(k) if v is None else b.put(k, v)
+            s.write_batch(b)
+            apply(model, operations)
+            count += n
+            assert s.seq == count and len(b) == n and b.is_empty() == (n == 0)
+            if n == 6:
+                s.flush()
+        assert content(s) == sorted(model.items())
 
 
 def test_store_in_memory(spark):
-    s = Store(spark)
-    s.write_batch(WriteBatch().put(b"key", b"value").delete(b"key").delete(b"missing"))
-    assert s.seq == 3 and s.charge == 0 and content(s) == []
+    s, rng, model = Store(spark), XorShift(13), {}
+    operations = mutate(rng, 4, 40)
+    for k, v in operations:
+        s.delete(k) if v is None else s.put(k, v)
+    apply(model, operations)
+    assert s.seq == 40 and content(s) == sorted(model.items()) and set(s.active) == set(model)
+    assert s.charge == sum(48 + len(k) + len(v) for k, v in model.items())
+    for k in model:
+        s.delete(k)
+    assert s.charge == 0 and content(s) == []
     s.flush()
     s.compact()
 
@@ -76,15 +106,17 @@ def test_bad_batches_change_nothing(spark, tmp_path):
 
 
 def test_sequence_outlives_the_data(spark, tmp_path):
-    path = str(tmp_path / "s")
+    path, names = str(tmp_path / "s"), [b"%d" % i for i in range(7)]
     with Store(spark, path, TINY) as s:
-        s.write_batch(WriteBatch().put(b"a", b"1").put(b"b", b"2").delete(b"a").delete(b"b"))
+        for action in (lambda k: s.put(k, k), s.delete):
+            for k in names:
+                action(k)
         s.compact()
-        assert not s.manifest.runs
+        assert not s.manifest.runs and not list((s.folder / "runs").iterdir())
     with Store(spark, path, TINY) as s:
-        assert s.seq == 4
-        s.put(b"c", b"3")
-        assert s.seq == 5
+        assert s.seq == 2 * len(names)
+        s.put(b"more", b"")
+        assert s.seq == 2 * len(names) + 1
 
 
 def test_differential_model(spark, tmp_path):
@@ -127,17 +159,18 @@ def test_snapshots_stay(spark, tmp_path):
 
 
 def test_partial_compaction_keeps_deletions(spark, tmp_path):
-    with Store(spark, str(tmp_path / "s"), Options(compaction_file_threshold=2, memtable_size_limit=1 << 20)) as s:
-        s.ingest(spark.createDataFrame([(bytearray(struct.pack(">Q", i)), bytearray(b"\x01" * 128), i) for i in range(512)], "key binary, value binary, ord long"))
-        for gen in (2, 3):
-            s.write_batch(WriteBatch().delete(struct.pack(">Q", 0)))
-            for i in range(1, 16):
-                s.put(struct.pack(">Q", i), bytes([gen]) * 128)
+    large = spark.range(300).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(b"old" * 30).alias("value"), F.col("id").alias("ord"))
+    with Store(spark, str(tmp_path / "s"), Options(compaction_file_threshold=2)) as s:
+        s.ingest(large)
+        for gen in (b"one", b"two"):
+            s.delete(b"17")
+            for i in range(20, 32):
+                s.put(b"%d" % i, gen * 30)
             s.flush()
         assert len(s.manifest.runs) == 2  # the two small ones became one
-        assert s.get(struct.pack(">Q", 0)) is None and s.get(struct.pack(">Q", 3)) == b"\x03" * 128
+        assert s.get(b"17") is None and s.get(b"25") == b"two" * 30 and s.get(b"40") == b"old" * 30
         s.compact()
-        assert s.scan().count() == 511 and s.activity_stats()["compactions"] == 2
+        assert s.scan().count() == 299 and s.activity_stats()["compactions"] == 2 and s.manifest.runs[0].records == 299
 
 
 def test_get_prunes_runs(spark, tmp_path):
@@ -300,3 +333,160 @@ def test_lifecycle(spark, tmp_path):
         s.compact()
         assert dict(content(s)) == {key(i): (b"0" if i % 2 else b"1") * 64 for i in range(n) if i % 4}
         assert len(s.manifest.runs) == 1 and s.write_amplification() > 0
+
+
+def folders(s):
+    return len(list((s.folder / "runs").iterdir()))
+
+
+def test_runs_go_when_their_readers_have(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s"), Options(compaction_file_threshold=99)) as s:
+        for i in range(3):
+            s.put(b"%d" % i, b"v")
+            s.flush()
+            assert len(content(s)) == i + 1
+            assert s.multi_get(spark.createDataFrame([(bytearray(b"0"),)], "key binary")).count() == 1
+        s.compact()
+        assert len(s.manifest.runs) == folders(s) == 1
+        kept = s.scan().filter("key > x'30'")  # the plan is held, the scan's own DataFrame is not
+        s.put(b"9", b"v")
+        s.compact()
+        assert folders(s) == 2 and sorted(bytes(r.key) for r in kept.collect()) == [b"1", b"2"]
+        del kept
+        s.put(b"8", b"v")
+        s.compact()
+        assert folders(s) == 1
+
+
+def test_get_while_runs_are_merged(spark, tmp_path):
+    wrong, stop = [], threading.Event()
+    with Store(spark, str(tmp_path / "s"), Options(compaction_file_threshold=99)) as s:
+        s.put(b"k", b"0")
+        s.flush()
+
+        def look():
+            while not stop.is_set():
+                try:
+                    if not (s.get(b"k") or b"").isdigit():
+                        wrong.append("gone")
+                except Exception as e:
+                    wrong.append(e)
+
+        t = threading.Thread(target=look)
+        t.start()
+        for g in range(1, 5):
+            s.put(b"k", b"%d" % g)
+            s.compact()
+        stop.set()
+        t.join()
+        assert not wrong and s.get(b"k") == b"4"
+
+
+def test_writers_and_readers_go_on_while_a_run_is_written(spark, tmp_path):
+    started, go = threading.Event(), threading.Event()
+
+    def hold():
+        started.set()
+        assert go.wait(60)
+
+    with Store(spark, str(tmp_path / "s")) as s:
+        s.put(b"a", b"1")
+        files.FAULTS["run.before_write"] = hold
+        t = threading.Thread(target=s.flush)
+        t.start()
+        assert started.wait(60)
+        s.put(b"a", b"2")
+        s.put(b"b", b"3")
+        assert s.get(b"a") == b"2" and content(s) == [(b"a", b"2"), (b"b", b"3")]
+        go.set()
+        t.join()
+        files.FAULTS.clear()
+        assert s.manifest.runs[0].records == 1 and len(s.active) == 2 and content(s) == [(b"a", b"2"), (b"b", b"3")]
+
+
+@pytest.mark.parametrize("background", [False, True])
+def test_many_writers(spark, tmp_path, background):
+    path = str(tmp_path / "s")
+    with Store(spark, path, Options(memtable_size_limit=2048, max_immutable_memtables=1, compaction_file_threshold=3), background=background) as s:
+        def write(n):
+            for i in range(60):
+                s.write_batch(WriteBatch().put(b"%d-%d" % (n, i), b"x" * 50).put(b"same", b"%d" % n))
+
+        threads = [threading.Thread(target=write, args=(n,)) for n in range(3)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert s.seq == 360 and s.scan().count() == 181 and len(s.frozen) <= 2
+    with Store(spark, path) as s:
+        assert s.seq == 360 and s.scan().count() == 181
+        s.compact()
+        assert s.manifest.runs[0].records == 181
+
+
+def test_a_failure_in_the_background_is_told(spark, tmp_path):
+    def fail():
+        raise OSError("fault")
+
+    files.FAULTS["run.before_write"] = fail
+    s = Store(spark, str(tmp_path / "s"), Options(memtable_size_limit=1), background=True)
+    with pytest.raises(errors.Background):
+        for i in range(10_000):
+            s.put(b"%d" % i, b"v")
+    s.close()
+    files.FAULTS.clear()
+    with Store(spark, str(tmp_path / "s")) as s:
+        assert s.get(b"0") == b"v"
+
+
+def test_a_large_ingest_is_of_several_files(spark, tmp_path, monkeypatch):
+    from tidelog.sources import runs
+
+    monkeypatch.setattr(runs, "FILE_BYTES", 100_000)
+    rows = spark.range(4000).select(F.lpad(F.col("id").cast("string"), 6, "0").cast("binary").alias("key"), F.lit(b"v" * 100).alias("value"), F.col("id").alias("ord"))
+    with Store(spark, str(tmp_path / "s")) as s:
+        s.ingest(rows)
+        run = s.manifest.runs[0]
+        assert run.bytes == 4000 * 123
+        parts = sorted((s.folder / "runs" / f"{run.run_id:012d}").glob("*.parquet"))
+        assert len(parts) == 5
+        bounds = [(r.lo, r.hi) for r in spark.read.parquet(*map(str, parts)).groupBy(F.input_file_name()).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect()]
+        assert all(bytes(a[1]) < bytes(b[0]) for a, b in zip(bounds, bounds[1:], strict=False))
+        s.put(b"000007", b"new")
+        assert s.get(b"000007") == b"new" and s.scan().count() == 4000 and s.seq == 4001
+
+
+def test_writes_during_an_ingest_are_newer(spark, tmp_path):
+    path, rows = str(tmp_path / "s"), spark.range(50).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(b"bulk").alias("value"), F.col("id").alias("ord"))
+    with Store(spark, path) as s:
+        s.put(b"3", b"before")
+        files.FAULTS["run.before_write"] = lambda: s.put(b"7", b"meanwhile") if s.get(b"7") is None else None
+        s.ingest(rows)
+        files.FAULTS.clear()
+        assert s.get(b"3") == b"bulk" and s.get(b"7") == b"meanwhile"
+    with Store(spark, path) as s:
+        assert s.get(b"3") == b"bulk" and s.get(b"7") == b"meanwhile" and s.scan().count() == 50
+
+
+def test_a_bloom_filter_skips_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    with Store(spark, str(tmp_path / "s")) as s:
+        s.ingest(spark.range(2000).select((F.col("id") * 2).cast("string").cast("binary").alias("key"), F.lit(b"v").alias("value"), F.col("id").alias("ord")))
+        part = next((s.folder / "runs").rglob("*.parquet"))
+        at = pq.read_metadata(part)
+        assert at.num_rows == 2000 and part.stat().st_size > 2000
+        assert s.get(b"1001") is None and s.get(b"1000") == b"v"
+        read = runs_read(spark, s, b"1001")
+        assert read == 0 and runs_read(spark, s, b"1000") > 0
+
+
+def runs_read(spark, s, key):
+    """Rows that the scan of a point read gives to its filter."""
+    from tidelog.sources import runs as r
+
+    df = r.read(spark, str(s.folder / "runs" / f"{s.manifest.runs[0].run_id:012d}")).filter(F.col("key") == F.lit(key))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()

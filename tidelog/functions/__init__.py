@@ -62,18 +62,22 @@ def nearest_rank(count: Column, percent: Column | int) -> Column:
 
 # --- Bloom filter arithmetic ----------------------------------------------
 
+#: Fixed values of the filters: least and most bytes; probes for a bit of each key, and most of them.
+LEAST_FILTER, MOST_FILTER, PROBES_PER_BIT, MOST_PROBES = 8, 8 << 20, 0.69, 20
+
 
 def bloom_bytes(keys: Column, bits_per_key: int) -> Column:
-    """Bytes of a filter: bits over 8, rounded up, from 8 bytes to 8 MiB."""
-    return F.least(F.greatest(F.call_function("div", keys * bits_per_key + 7, F.lit(8).cast("long")), F.lit(8).cast("long")), F.lit(8 << 20).cast("long"))
+    """Bytes of a filter: bits over 8, rounded up, within the bounds."""
+    wanted = F.call_function("div", keys * bits_per_key + 7, F.lit(8).cast("long"))
+    return F.least(F.greatest(wanted, F.lit(LEAST_FILTER).cast("long")), F.lit(MOST_FILTER).cast("long"))
 
 
 def bloom_probes(bits_per_key: int) -> int:
-    return min(20, max(1, int(0.69 * bits_per_key)))
+    return min(MOST_PROBES, max(1, int(PROBES_PER_BIT * bits_per_key)))
 
 
-#: Offset basis and prime of the public FNV-1a hash (64 bits).
-FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: Offset basis and prime of the public FNV-1a hash (64 bits), and the factor of the public murmur3 finaliser.
+FNV_OFFSET, FNV_PRIME, FINAL = 0xCBF29CE484222325, 0x100000001B3, 0xFF51AFD7ED558CCD
 
 
 def fnv1a(data: bytes) -> int:
@@ -83,9 +87,14 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a_hash(keys: pd.Series) -> pd.Series:
-    """FNV-1a of binary keys, as a signed long: multiplication that wraps is an error in ANSI SQL, so this is Arrow-batched Python."""
+def bloom_hash(data: bytes) -> int:
+    """What a Bloom filter uses: FNV-1a, whose high bits are then mixed into the low ones."""
+    h = fnv1a(data)
+    h = (h ^ h >> 33) * FINAL & 0xFFFFFFFFFFFFFFFF
+    return h ^ h >> 33
+
+
+def _fnv(keys: pd.Series) -> np.ndarray:
     present = keys.map(lambda k: bytes(k) if k is not None else b"")
     lengths = present.map(len).to_numpy()
     out = np.full(len(present), FNV_OFFSET, np.uint64)
@@ -95,7 +104,22 @@ def fnv1a_hash(keys: pd.Series) -> pd.Series:
         for i in range(int(lengths.max()) if len(lengths) else 0):
             on = lengths > i
             out[on] = (out[on] ^ data[starts[on] + i]) * np.uint64(FNV_PRIME)
-    return pd.Series(out.view(np.int64))
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def fnv1a_hash(keys: pd.Series) -> pd.Series:
+    """FNV-1a of binary keys, as a signed long: multiplication that wraps is an error in ANSI SQL, so this is Arrow-batched Python."""
+    return pd.Series(_fnv(keys).view(np.int64))
+
+
+@F.pandas_udf(T.LongType())
+def bloom_hashes(keys: pd.Series) -> pd.Series:
+    """bloom_hash() of binary keys, as a signed long."""
+    h = _fnv(keys)
+    with np.errstate(over="ignore"):
+        h = (h ^ h >> np.uint64(33)) * np.uint64(FINAL)
+    return pd.Series((h ^ h >> np.uint64(33)).view(np.int64))
 
 
 class XorShift:

@@ -21,7 +21,8 @@ def latest(log: DataFrame, key: str = "key", seq: str = "seq", *, form: str = "m
     max_by sums up before the shuffle, in a hash aggregate while all columns are
     of fixed width; window drops all but the first row of each key on the map
     side; join (a hash aggregate of the sequence numbers, joined back) keeps wide
-    values out of the aggregate. Equal sequence numbers do not occur in a log.
+    values out of the aggregate. Equal sequence numbers do not occur in a log;
+    where runs are merged that have some, merge_runs(ties=True) tells them apart.
     """
     others = [c for c in log.columns if c not in (key, seq)]
     if form == "max_by":
@@ -44,13 +45,19 @@ def at_sequence(log: DataFrame, last: int, seq: str = "seq") -> DataFrame:
     return log.filter(F.col(seq) <= last)
 
 
-def merge_runs(runs: list[DataFrame], key: str = "key", seq: str = "seq", value: str = "value", *, drop_tombstones: bool = False) -> DataFrame:
+def merge_runs(runs: list[DataFrame], key: str = "key", seq: str = "seq", value: str = "value", *, drop_tombstones: bool = False, ties: bool = False) -> DataFrame:
     """Runs (one row for each key) merged into one.
 
     Tombstones may be dropped only if every live run takes part: an older run
     that does not could still hold the value. One run alone needs no merge.
+    ties: of equal sequence numbers of a key the run that comes first counts.
     """
-    merged = runs[0] if len(runs) == 1 else latest(reduce(DataFrame.unionByName, runs), key, seq)
+    if ties and len(runs) > 1:
+        # the sequence number and, against it, the run's place are compared together
+        both = reduce(DataFrame.unionByName, [r.withColumn("_age", F.struct(F.col(seq), F.lit(-i).alias("run"))) for i, r in enumerate(runs)])
+        merged = latest(both, key, "_age").select(runs[0].columns)
+    else:
+        merged = runs[0] if len(runs) == 1 else latest(reduce(DataFrame.unionByName, runs), key, seq)
     return merged.filter(F.col(value).isNotNull()) if drop_tombstones else merged
 
 

@@ -45,15 +45,22 @@ def seek(log: DataFrame, wanted, *, after: bool = False, key: str = "key", seq:
 def many_ranges(log: DataFrame, ranges: DataFrame, *, key: str = "key", seq: str = "seq", value: str = "value") -> DataFrame:
     """range_id and the live keys with low <= key < high, for ranges(range_id, low, high) over integer keys.
 
-    Ranges are cut at multiples of a width (their widest, rounded up to a power
-    of two), so each becomes at most two rows that are joined by equality.
+    A range is cut at multiples of a width of its own (its length, rounded up to
+    a power of two), so it becomes two rows at most; a key meets them in the cell
+    that it has at each width. Widths are collected: there are 64 at most. Only
+    keys inside some range's bounds are merged.
     """
-    widest = ranges.agg(F.max(F.col("high") - F.col("low"))).first()[0]
-    width = 1 << max(0, int(widest or 1) - 1).bit_length()
-    cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-    cut = ranges.filter("high > low").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
-    alive = lww.live(log, key, seq, value).withColumn("cell", cell(F.col(key)))
-    return alive.join(cut, "cell").filter((F.col(key) >= F.col("low")) & (F.col(key) < F.col("high"))).select("range_id", key, value)
+    ranges = ranges.filter("high > low").withColumn("width", F.length(F.bin(F.col("high") - F.col("low") - 1)).cast("int"))
+    ranges = ranges.withColumn("width", F.when(F.col("high") - F.col("low") == 1, 0).otherwise(F.col("width")))
+    bounds, widths = ranges.agg(F.struct(F.min("low"), F.max("high")), F.collect_set("width")).first()
+    cell = lambda c, w: F.shiftright(c.cast("long"), w)
+    cut = ranges.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.expr(f"shiftright(cast({e} as bigint), width)") for e in ("low", "high - 1")]))))
+    if not widths:
+        return log.limit(0).select(F.lit(None).cast(ranges.schema["range_id"].dataType).alias("range_id"), key, value)
+    alive = lww.live(KeyRange(included(bounds[0]), excluded(bounds[1])).restrict(log, key), key, seq, value)
+    cells = F.array(*[F.struct(F.lit(w).alias("width"), cell(F.col(key), w).alias("cell")) for w in sorted(widths)])
+    alive = alive.withColumn("_at", F.explode(cells)).select(key, value, "_at.width", "_at.cell")
+    return alive.join(cut, ["width", "cell"]).filter((F.col(key) >= F.col("low")) & (F.col(key) < F.col("high"))).select("range_id", key, value)
 
 
 def counts(log: DataFrame, *, key: str = "key", seq: str = "seq", value: str = "value") -> DataFrame:

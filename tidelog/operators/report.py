@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 import random
 import statistics
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,8 @@ GROUP = ["suite", "case", "scenario", "stage"]
 RESAMPLES, SEED, LOW, HIGH = 4000, 20261029, 100, 3899
 #: A stage is slower if the median ratio is under this and the bounds lie under 1.
 SLOWER = 0.97
+#: Parts that a group's values are cut into to find a rank.
+PARTS = 64
 #: Samples that a percentile needs.
 NEEDED = {95: 20, 99: 100}
 
@@ -69,12 +73,13 @@ def bootstrap_bounds(values: list[float]) -> tuple[float, float]:
     return medians[LOW], medians[HIGH]
 
 
-def bootstrap(ratios: DataFrame, keys: list[str] = GROUP, value: str = "ratio") -> DataFrame:
-    """keys, median, low, high. A group is the trials of one condition (tens of rows)."""
+def bootstrap(ratios: DataFrame, keys: list[str] = GROUP, value: str = "ratio", order: str = "trial") -> DataFrame:
+    """keys, median, low, high. A group is the trials of one condition (tens of rows), resampled in the order of order; without that column, in ascending order."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ratios.select(*keys).schema.fields) + ", median double, low double, high double"
+    order = order if order in ratios.columns else value
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(group[value])
+        values = list(group.sort_values([order, value])[value])
         low, high = bootstrap_bounds(values)
         return pd.DataFrame([[*(group[k].iloc[0] for k in keys), statistics.median(values), low, high]], columns=[*keys, "median", "low", "high"])
 
@@ -105,15 +110,27 @@ def first_metric(rows: DataFrame, metrics: list[str], keys: list[str] = GROUP) -
 
 
 def percentile(rows: DataFrame, value: str, percents: list[int], keys: list[str]) -> DataFrame:
-    """keys, percent, n, value: nearest rank (from 0: (n - 1) * percent div 100); null where there are too few samples."""
-    own = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, F.col(value).alias("value"), (F.row_number().over(own.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(own).alias("n"))
-    out = None
-    for p in percents:
-        at = ranked.filter(F.col("_i") == F.call_function("div", (F.col("n") - 1) * p, F.lit(100).cast("long")))
-        one = at.select(*keys, F.lit(p).alias("percent"), "n", F.when(F.col("n") >= NEEDED.get(p, 1), F.col("value")).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """keys, percent, n, value: nearest rank (from 0: (n - 1) * percent div 100); null where there are too few samples. Nulls are the smallest values.
+
+    Equal values are counted first. Approximate quantiles cut each group's values
+    into PARTS, whose sizes tell in which part a rank lies; only that part of a
+    group is put in order, so no task sorts a whole group.
+    """
+    same = lambda pairs: reduce(and_, [x.eqNullSafe(y) for x, y in pairs], F.lit(True))
+    counted = rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 1000).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    cut = counted.join(cuts, on=same([(counted[k], cuts[k]) for k in keys])).select(*[counted[k] for k in keys], "value", "times", "n", F.coalesce(F.size(F.array_distinct(F.filter("cuts", lambda c: c < F.col("value")))), F.lit(0)).alias("part"))
+    parts = cut.groupBy(*keys, "part").agg(F.sum("times").alias("rows"), F.first("n").alias("n"))
+    ordered = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
+    places = parts.withColumn("before", F.coalesce(F.sum("rows").over(ordered), F.lit(0)))
+    wanted = places.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    wanted = wanted.withColumn("at", F.call_function("div", (F.col("n") - 1) * F.col("percent"), F.lit(100).cast("long"))).filter("before <= at and at < before + rows")
+    wanted = wanted.select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("part").alias("w_part"), "percent", "at", "before")
+    inside = cut.join(wanted, on=same([(F.col(k), F.col(f"w_{k}")) for k in keys]) & (F.col("part") == F.col("w_part")))
+    run = Window.partitionBy(*keys, "percent").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)  # of one part
+    reached = inside.withColumn("first", F.col("before") + F.coalesce(F.sum("times").over(run), F.lit(0))).filter("first <= at and at < first + times")
+    needed = F.coalesce(*[F.when(F.col("percent") == p, n) for p, n in NEEDED.items()], F.lit(1))
+    return reached.select(*keys, "percent", "n", F.when(F.col("n") >= needed, F.col("value")).alias("value"))
 
 
 def nearest_rank(values: list[float], percent: int) -> float | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Columns of a report row.
+COLUMNS = ["suite", "case", "scenario", "stage", "backend", "trial", "seconds", "commit_seconds", "us", "peak_rss"]
 ROWS = "suite string, case string, scenario string, stage string, backend string, trial int, seconds double, commit_seconds double, us double, peak_rss double"
 
 

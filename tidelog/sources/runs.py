@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.errors import Corruption
 from tidelog.functions import record_bytes
 from tidelog.schema import LOG, Options
 from tidelog.sources.manifest import Run
@@ -32,3 +37,20 @@ def write(rows: DataFrame, path: str, run_id: int, options: Options, size_hint:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(path)
+
+
+def check(path: Path, run: Run) -> None:
+    """Raises where a run's files are not whole, or do not hold the records and sequence numbers that the manifest has; only footers are read."""
+    records, last = 0, 0
+    try:
+        for p in sorted(path.glob("*.parquet")):
+            meta = pq.read_metadata(p)
+            records += meta.num_rows
+            at = meta.schema.names.index("seq")
+            for g in range(meta.num_row_groups):
+                seen = meta.row_group(g).column(at).statistics
+                last = max(last, seen.max if seen is not None and seen.has_min_max else 0)
+    except (pa.ArrowException, OSError, ValueError) as e:
+        raise Corruption(f"run {run.run_id} is damaged") from e
+    if records != run.records or last != run.max_seq:
+        raise Corruption(f"run {run.run_id} is not what the manifest says")
