@@ -8,9 +8,10 @@ Words are tokens, windows of K words are edges between nodes of K - 1 words.
    that a second document has come back. Windows with another one are unique.
 3. The windows left are edges. Each of their nodes goes to its bucket with a hash
    of the words before and behind it; a node where these differ between
-   occurrences, or end, is branching, and only branching nodes come back. What
-   lies between two of them in a document is a nonbranching path: one row,
-   whatever its length.
+   occurrences, or end, is branching, and only branching nodes that occur more
+   than once come back. What lies between two of them in a document is a
+   nonbranching path: one row, whatever its length. (Where a node that occurs
+   once lies between, the row is no path, but has no equal either.)
 4. Paths are joined on first node, length, last node and a digest of the words
    between, taken from the source coordinates in a prime field over a second word
    hash; so a path is matched with its smallest document only where the whole
@@ -19,9 +20,9 @@ Words are tokens, windows of K words are edges between nodes of K - 1 words.
 
 A minimizer sends one row for each Arrow batch, not for each document, where the
 batch alone shows that it repeats. Nodes that are hot (there are HOT_NODES for a
-document's windows at most, found near hot minimizers) are judged before by a sum
-that is made on the map side: nonbranching ones are not sent at all, branching
-ones are dealt evenly. Buckets are read one after another.
+document's windows at most; they have a hot minimizer) are judged before by a sum
+that is made on the map side: those that are surely nonbranching are not sent at
+all, the others are dealt evenly and break paths. Buckets are read one by one.
 """
 
 from __future__ import annotations
@@ -162,53 +163,46 @@ def repeated_minimizers(docs: DataFrame, k: int, gram: int, parts: int, hot: int
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, m long")
 
 
-def _occurrences(batch: pa.RecordBatch, k: int, gram: int, digests: bool = True) -> tuple[np.ndarray, ...]:
-    """Of each node next to a marked window: its hash, a number for both neighbours, document, place, digest's sum before it, and the minimizers of the windows behind and before it.
+#: What a node's neighbours are told by: below KNOWN a neighbour is missing, from there to FULL the node is hot; odd where a window starts.
+KNOWN, FULL = 2, 4
 
-    The number is below 2 where a neighbour is missing, and odd where a window starts.
-    """
-    words, *other, first = _hashed(batch.column(1), (1, 2) if digests else (1,))
-    at, best = minimizers(words, first, k, gram)
-    best = best >> np.uint64(16)
-    row = np.searchsorted(first, at, "right") - 1
-    marks = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-    of = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+def _neighbours(words: np.ndarray, at: np.ndarray, k: int, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A number for the words before and behind the nodes at these places; below KNOWN where a window before or after is missing."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        salted = lambda r, m: common.mix(m + common.mix(r.astype(np.uint64) + np.uint64(1)))
-        edge = np.zeros(len(words) + 1, bool)
-        edge[at[np.isin(salted(row, best), salted(of, marks.flatten().to_numpy().astype(np.uint64)))]] = True
-        before = np.concatenate([[False], edge[:-1]])
-        node_at = np.flatnonzero(edge | before)
-        node_at = node_at[node_at + k - 1 <= len(words)]
-        row = np.searchsorted(first, node_at, "right") - 1
-        both = common.mix(words[np.maximum(node_at - 1, 0)] + common.mix(words[np.minimum(node_at + k - 1, len(words) - 1)])) if len(words) else words
-    side = np.where(before[node_at] & edge[node_at], both | np.uint64(3), edge[node_at].astype(np.uint64))
-    least = np.zeros(len(words) + 1, np.uint64)
-    least[at] = best
-    prefix = None
-    if digests:
-        place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-        prefix = _since(common.running(other[0], place), node_at, first[row])
-    return common.hash_windows(words, k - 1)[node_at], side, batch.column(0).to_numpy()[row], (node_at - first[row]).astype(np.int32), prefix, least[node_at], np.where(before[node_at], least[np.maximum(node_at - 1, 0)], 0)
-
-
-def hot_nodes(marked: DataFrame, often: np.ndarray, k: int, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes (in order) with so many occurrences next to windows with a minimizer in often, and whether each is branching."""
-    given, top = marked.sparkSession.sparkContext.broadcast(often), np.uint64(1 << 63)  # 2 x HOT_NODES for a document's minimizers at most
+        both = common.mix(words[np.maximum(at - 1, 0)] + common.mix(words[np.minimum(at + k - 1, len(words) - 1)]))
+    return np.where(before & after, both | np.uint64(FULL + 1), after.astype(np.uint64))
+
+
+def hot_nodes(docs: DataFrame, often: np.ndarray, k: int, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes whose smallest gram is in often (hot minimizers): those with so many occurrences (in order), and whether each may be branching.
+
+    A window counts only if its minimizer is in often too: of the others it is
+    not known here whether they are repeated. Reads the texts of docs (doc, t).
+    """
+    given, top = docs.sparkSession.sparkContext.broadcast(np.sort(often)), np.uint64(1 << 63)  # 2 x HOT_NODES for a document's minimizers at most
 
     def run(batches):
         for batch in batches:
-            node, side, _, _, _, behind, ahead = _occurrences(batch, k, gram, digests=False)
-            near = np.isin(behind, given.value) | np.isin(ahead, given.value)
-            order, begins = _groups(node[near])
-            x = (side[near] ^ top).view(np.int64)[order]  # in the order of unsigned numbers
+            words, first = _hashed(batch.column(1))
+            window = np.zeros(len(words) + 1, bool)
+            at, best = minimizers(words, first, k, gram)
+            window[at[np.isin(best >> np.uint64(16), given.value)]] = True
+            at, best = minimizers(words, first, k - 1, gram)
+            at = at[np.isin(best >> np.uint64(16), given.value)]
+            side = _neighbours(words, at, k, (at > 0) & window[np.maximum(at - 1, 0)], window[at])
+            node = common.hash_windows(words, k - 1)[at]
+            order, begins = _groups(node)
+            x = (side ^ top).view(np.int64)[order]  # in the order of unsigned numbers
             lo, hi = (np.minimum.reduceat(x, begins), np.maximum.reduceat(x, begins)) if len(begins) else (x, x)
-            yield pa.RecordBatch.from_arrays([pa.array(node[near][order][begins].view(np.int64)), pa.array(np.diff(np.append(begins, len(order)))), pa.array(lo), pa.array(hi)], names=["node", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[order][begins].view(np.int64)), pa.array(np.diff(np.append(begins, len(order)))), pa.array(lo), pa.array(hi)], names=["node", "n", "lo", "hi"])
 
-    found = marked.mapInArrow(run, "node long, n long, lo long, hi long").groupBy("node").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = docs.mapInArrow(run, "node long, n long, lo long, hi long").groupBy("node").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     rows = found.filter(F.col("n") >= least).collect()  # HOT_NODES for a document's windows at most
     rows.sort(key=lambda r: r.node % (1 << 64))
-    return np.array([r.node for r in rows], np.int64).view(np.uint64), np.array([r.lo != r.hi or r.lo < 2 - (1 << 63) for r in rows], bool)
+    return np.array([r.node for r in rows], np.int64).view(np.uint64), np.array([r.lo != r.hi or r.lo < FULL - (1 << 63) for r in rows], bool)
 
 
 def paths(marked: DataFrame, k: int, gram: int, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -219,25 +213,44 @@ def paths(marked: DataFrame, k: int, gram: int, parts: int, hot: tuple[np.ndarra
     def send(batches):
         hot_node, is_branching = given.value
         for batch in batches:
-            node, side, doc, local, prefix, _, _ = _occurrences(batch, k, gram)
+            words, other, first = _hashed(batch.column(1), (1, 2))
+            at, best = minimizers(words, first, k, gram)
+            row = np.searchsorted(first, at, "right") - 1
+            marks = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            of = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            salted = lambda r, m: common.mix(m + common.mix(r.astype(np.uint64) + np.uint64(1)))
+            with np.errstate(over="ignore"):
+                edge = np.zeros(len(words) + 1, bool)
+                edge[at[np.isin(salted(row, best >> np.uint64(16)), salted(of, marks.flatten().to_numpy().astype(np.uint64)))]] = True
+            before = np.concatenate([[False], edge[:-1]])
+            at = np.flatnonzero(edge | before)
+            at = at[at + k - 1 <= len(words)]
+            node = common.hash_windows(words, k - 1)[at]
+            side = _neighbours(words, at, k, before[at], edge[at])
             bucket = (node % np.uint64(buckets)).astype(np.int64)
+            row = np.searchsorted(first, at, "right") - 1
+            doc = batch.column(0).to_numpy()[row]
             if len(hot_node):
                 i = np.minimum(np.searchsorted(hot_node, node), len(hot_node) - 1)
                 known = hot_node[i] == node
                 sure = known & is_branching[i]
-                side = np.where(sure, side & np.uint64(1), side)  # comes back from any bucket
+                side = np.where(sure, (side & np.uint64(1)) | np.uint64(KNOWN), side)
                 bucket = np.where(sure, (common.mix(doc.astype(np.uint64) ^ node) % np.uint64(buckets)).astype(np.int64), bucket)
-                keep = ~known | sure
-                node, side, doc, local, prefix, bucket = (x[keep] for x in (node, side, doc, local, prefix, bucket))
+                keep = np.flatnonzero(~known | sure)
+                at, node, side, bucket, row, doc = (x[keep] for x in (at, node, side, bucket, row, doc))
+            place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+            prefix = _since(common.running(other, place), at, first[row])
+            local = (at - first[row]).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             yield pa.RecordBatch.from_arrays(_blobs(bucket[order], [x[order] for x in (node, side, doc, local, prefix)]), names=["bucket", "node", "side", "doc", "pos", "prefix"])
 
     def branching(batches):
         for _, (node, side, doc, pos, prefix) in _by_bucket(batches, (np.uint64, np.uint64, np.int64, np.int32, np.uint64)):
             order, begins = _groups(node)
-            x = side[order]
+            x, size = side[order], np.diff(np.append(begins, len(order)))
             least = np.minimum.reduceat(x, begins)
-            back = order[_spread((least != np.maximum.reduceat(x, begins)) | (least < 2), begins, len(order))]
+            branch = (least != np.maximum.reduceat(x, begins)) | (least < FULL)
+            back = order[_spread(branch & ((size > 1) | ((least >= KNOWN) & (least < FULL))), begins, len(order))]
             yield pa.RecordBatch.from_arrays([pa.array(doc[back]), pa.array(pos[back]), pa.array(node[back].view(np.int64)), pa.array((side[back] & np.uint64(1)).astype(bool)), pa.array(prefix[back].view(np.int64))], names=["doc", "pos", "node", "goes", "prefix"])
 
     def between(batches):
@@ -303,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     often = [r.m for r in marks.filter("doc is null").select(F.explode("marks").alias("m")).collect()]  # 2 x HOT_NODES for a document's minimizers at most
     marked = distinct.join(marks.filter("doc is not null"), "doc").select("doc", "t", "marks")
     none = (np.zeros(0, np.uint64), np.zeros(0, bool))
-    found = common.cut(paths(marked, k, gram, parts, hot_nodes(marked, np.array(often, np.int64).view(np.uint64), k, gram, hot) if often else none))
+    found = common.cut(paths(marked, k, gram, parts, hot_nodes(given, np.array(often, np.int64).view(np.uint64), k, gram, hot) if often else none))
     key = ["node", "last", "length", "digest"]
     source = found.groupBy(*key).agg(F.min("doc").alias("source"), F.max("doc").alias("latest"), F.count(F.lit(1)).alias("n")).filter("latest > source").select(*key, "source", "n")
     spans = common.spread_join(found, common.cut(source), key, "n", "doc").filter("doc > source").select("doc", "start", (F.col("start") + F.col("length") + (k - 1)).alias("end"))
