@@ -121,6 +121,14 @@ def test_training_rows_are_bounded_whatever_their_ids(spark):
     total = np.exp(m.logs.astype(float)).sum(0)
     assert np.allclose(total, 1, atol=1e-3)
     assert langid.fit(df.limit(0), "doc_id", "text", "lang").languages == []
+    # the rows drawn do not matter: the same smallest hashes are found, and all rows where too few are drawn
+    plain = spark.createDataFrame([(i, f"text {i}", "en" if i % 3 else "de") for i in range(900)] + [(i % 2, "same", "fr") for i in range(300)], "doc_id long, text string, lang string")
+    models = []
+    for factor in (2, 10**6):
+        langid.DRAWN, was = factor, langid.DRAWN
+        models.append(langid.fit(plain, "doc_id", "text", "lang", train_docs=9))
+        langid.DRAWN = was
+    assert models[0].languages == models[1].languages == ["de", "en", "fr"] and (models[0].logs == models[1].logs).all()
     many = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         langid.fit(many, "doc_id", "text", "lang")

@@ -26,6 +26,8 @@ from tidelog.llm import common
 common.ship(__name__)
 
 BUCKETS, TRAIN_DOCS, EFFECTIVE, MAX_LANGUAGES = 1 << 16, 1000, 40.0, 64
+#: How many times train_docs rows of a language are ranked.
+DRAWN = 4
 #: Texts of fewer trigrams are not tested for being in none of the languages.
 TESTED = 20
 #: Weight of the level above in host and domain priors, and of an even share in the declarations' table.
@@ -62,15 +64,30 @@ def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_doc
     """The text model; of each language the train_docs rows with the smallest hash of id and then of text are read.
 
     Rows without a text or a language are left out; a null id is an id. Hashes
-    are ranked without the texts. More than MAX_LANGUAGES languages are an error.
+    are ranked without the texts, and only those so small that about DRAWN times
+    train_docs of a language are: the number of rows that meet in a task does not
+    grow with the corpus. More than MAX_LANGUAGES languages are an error.
     """
     common.prepare(labelled.sparkSession)
+    counts = labelled.filter(F.col(language).isNotNull()).groupBy(F.col(language).alias("l")).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     own = labelled.select(F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text)).alias("x"), F.col(language).alias("language"), F.col(text).alias("t")).filter("t is not null and language is not null")
     place = F.row_number().over(Window.partitionBy("language").orderBy("h", "x"))
-    first = own.select("language", "h", "x").withColumn("n", place).filter(F.col("n") <= train_docs).select("language", "h", "x").distinct()
-    first = common.cut(first)
-    if first.select("language").distinct().count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+
+    def smallest(rows: DataFrame) -> DataFrame:
+        ranked = rows.select("language", "h", "x").withColumn("n", place).filter(F.col("n") <= train_docs)
+        return common.cut(ranked.select("language", "h", "x").distinct())
+
+    # of a language with few rows all are drawn
+    below = {r.l: -(1 << 63) + (DRAWN * train_docs << 64) // r["count"] for r in counts if r["count"] > DRAWN * train_docs}
+    drawn = F.lit(True)
+    for name, least in below.items():
+        drawn = drawn & ((F.col("language") != name) | (F.col("h") < least))
+    first = smallest(own.filter(drawn))
+    got = {r.language: r["count"] for r in first.groupBy("language").count().collect()}
+    if few := [name for name in below if got.get(name, 0) < train_docs]:  # ids or texts that repeat, or are null
+        first = smallest(own.filter(F.col("language").isin(few))).union(first.filter(~F.col("language").isin(few)))
     taken = own.join(F.broadcast(first), ["language", "h", "x"], "left_semi")  # MAX_LANGUAGES x train_docs at most
     taken = taken.withColumn("n", place).filter(F.col("n") <= train_docs)  # repeated rows may be more
 
