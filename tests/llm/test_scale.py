@@ -143,6 +143,24 @@ def test_rows_without_a_host_fare_as_with_a_new_one(spark, model):
         assert len({(r.language, round(r.posterior, 12)) for r in got}) == 1 and len(got) == 3
 
 
+# --- 8 ---
+
+
+def test_most_of_a_token_by_hand():
+    rng = random.Random(6)
+    for _ in range(300):
+        ends = np.cumsum([rng.randrange(1, 6) for _ in range(rng.randrange(1, 20))])
+        first, last = np.concatenate([[0], ends[:-1]]), ends
+        sections = np.array([sorted((rng.randrange(ends[-1] + 3), rng.randrange(ends[-1] + 3))) for _ in range(rng.randrange(1, 8))])
+        want = [0] * len(sections)
+        for a, b in zip(first, last, strict=True):
+            whole = [n for n, (lo, hi) in enumerate(sections) if lo <= a and b <= hi]
+            shared = [max(0, min(b, hi) - max(a, lo)) for lo, hi in sections]
+            for n in whole or ([shared.index(max(shared))] if max(shared) else []):
+                want[n] += 1
+        assert tokencount.allot(first, last, sections, "most")[0].tolist() == want
+
+
 # --- long words and texts ---
 
 

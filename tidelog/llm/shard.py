@@ -95,7 +95,7 @@ def manifest(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shard
     rows = rows.groupBy("id", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
     number = F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(P1).cast("long"))
     mixed = (number * 742_938_285 + F.col("crc") % P1 * 68_718_951 + F.col("size") % 65_536 * 4_099) % P1
-    rows = rows.withColumn("bucket", mixed * 950_706_376 % P2 % BUCKETS)
+    rows = common.cut(rows.withColumn("bucket", mixed * 950_706_376 % P2 % BUCKETS))  # the texts are read once
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over BUCKETS rows at most
     counts = rows.groupBy("bucket").agg(F.sum("n").alias("n"))
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("n_rows"))

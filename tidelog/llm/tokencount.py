@@ -29,6 +29,12 @@ def line_sections(text: str) -> np.ndarray:
     return np.stack([np.concatenate([[0], ends[:-1]]), ends], 1) if len(ends) else np.zeros((0, 2), np.int64)
 
 
+def _ranges(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of each range [lo, hi), and what the range is of."""
+    size = np.maximum(0, hi - lo)
+    return np.repeat(of, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+
+
 def allot(first: np.ndarray, last: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section by the rule, and how many tokens cross a border of it. Token i touches characters [first, last)."""
     lo, hi = sections[:, 0], sections[:, 1]
@@ -42,11 +48,20 @@ def allot(first: np.ndarray, last: np.ndarray, sections: np.ndarray, rule: str)
         counts = np.where(full, in_hi - touch_lo, 0)
     elif rule == "most":
         counts = np.where(full, np.maximum(0, in_hi - in_lo), 0)
-        borders = {int(t) for s in np.flatnonzero(crossing) for t in (*range(touch_lo[s], min(in_lo[s], touch_hi[s])), *range(max(in_hi[s], touch_lo[s]), touch_hi[s]))}
-        for t in borders:
-            held = np.minimum(hi, last[t]) - np.maximum(lo, first[t])
-            if (best := int(held.argmax())) >= 0 and held[best] > 0:
-                counts[best] += 1
+        held = np.flatnonzero(counts)
+        inside = np.zeros(len(first) + 1, np.int64)
+        np.add.at(inside, in_lo[held], 1)
+        np.add.at(inside, in_hi[held], -1)
+        over = np.flatnonzero(crossing)
+        pairs = [_ranges(over, touch_lo[over], np.minimum(in_lo, touch_hi)[over]), _ranges(over, np.maximum(in_hi, touch_lo)[over], touch_hi[over])]
+        s, t = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        some = np.cumsum(inside)[t] == 0
+        s, t = s[some], t[some]
+        shared = np.minimum(hi[s], last[t]) - np.maximum(lo[s], first[t])
+        order = np.lexsort((s, -shared, t))
+        order = order[shared[order] > 0]
+        best = order[np.concatenate([[True], t[order][1:] != t[order][:-1]])] if len(order) else order
+        counts = counts + np.bincount(s[best], minlength=len(counts))
     else:
         raise ValueError(f"rule is one of {RULES}")
     return np.maximum(0, counts), crossing
@@ -58,7 +73,8 @@ def section_tokens(df: DataFrame, text: str = "text", sections: str | None = Non
     sections names a column array<struct<start:int, end:int>> of characters;
     without it each line with its line feed is a section. Sections may leave
     gaps or overlap: under "first" and "last" a token counts in each that holds
-    the character. Null and empty texts, and null or empty section lists, give no
+    the character; under "most" in each that it lies in, or else in the first of
+    those that hold most of it. Null and empty texts, and null or empty section lists, give no
     rows; a null section counts as empty. Columns of df with these names are replaced.
     """
     if rule not in RULES:
