@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.errors import Corruption
@@ -22,16 +22,18 @@ def write(rows: DataFrame, path: str, run_id: int, options: Options, size_hint:
     """Writes rows (one for each key) in key order over range partitions, so files hold disjoint key ranges."""
     files = max(1, -(-size_hint // FILE_BYTES))
     ordered = rows.repartitionByRange(files, "key") if files > 1 else rows.coalesce(1)
+    seen = Observation()
+    sorted_ = ordered.sortWithinPartitions("key").select("key", "seq", "value").observe(
+        seen, F.coalesce(F.sum(record_bytes(F.col("key"), F.col("value"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("records"),
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
+    )
     (
-        ordered.sortWithinPartitions("key").select("key", "seq", "value").write
+        sorted_.write
         .option("parquet.page.size", str(options.block_size)).option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.bloom.filter.fpp#key", str(min(0.5, 0.6185**options.bloom_filter_bits_per_key)))
         .parquet(path)
     )
-    m = rows.sparkSession.read.schema(LOG).parquet(path).agg(
-        F.coalesce(F.sum(record_bytes(F.col("key"), F.col("value"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("records"),
-        F.min("key").alias("lo"), F.max("key").alias("hi"), F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
-    ).first()
+    m = seen.get  # counted by the tasks that wrote
     return Run(run_id, m["bytes"], m["records"], None if m["lo"] is None else bytes(m["lo"]).hex(), None if m["hi"] is None else bytes(m["hi"]).hex(), m["seq"])
 
 
