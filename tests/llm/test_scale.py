@@ -1,5 +1,6 @@
 """Hot keys, many blocks, wide numbers, foreign languages and clashing names."""
 
+import os
 import random
 
 import numpy as np
@@ -38,6 +39,14 @@ def test_a_hot_key_is_dealt_over_many_parts(spark):
     assert few.collect() == []
 
 
+def test_cut_tables_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(common, "TABLES", [])
+    df = common.cut(spark.range(5))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and common.clear(spark) == 1 and common.clear(spark) == 0
+    assert not os.path.exists(folder)
+
+
 # --- 1 ---
 
 

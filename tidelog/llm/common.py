@@ -80,13 +80,27 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders of the tables that this process has cut.
+TABLES: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, and lost executors cost a read."""
     path = f"{scratch(df.sparkSession)}/tidelog-{uuid.uuid4().hex}"
+    TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has cut, and says how many; results that read them must have been written before."""
+    n, hadoop = len(TABLES), spark._jvm.org.apache.hadoop.fs.Path
+    while TABLES:
+        path = hadoop(TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 #: Parts that the rows of a hot key are dealt to; a key is hot if it has more than one in so many of all rows.
 SALTS = 64
 

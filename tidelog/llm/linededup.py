@@ -24,8 +24,8 @@ from tidelog.llm import common
 common.ship(__name__)
 
 BLOCK_LINES, BLOCK_CHARS = 2, 100
-#: Documents whose deletions are broadcast; more are joined by a shuffle.
-BROADCAST_DOCS = 300_000
+#: Documents whose deletions are broadcast, and ranges in them (8 bytes each); more are joined by a shuffle.
+BROADCAST_DOCS, BROADCAST_RANGES = 300_000, 2_000_000
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -184,7 +184,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *,
     gone_doc, ranges, lines = common.fresh(docs.columns, "gone_doc", "ranges", "lines")
     found = deletions(docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")), block_lines=block_lines, block_chars=block_chars)
     found = found.select(F.col("doc").alias(gone_doc), F.col("ranges").alias(ranges))
-    small = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found  # checked size
+    size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(ranges)), F.lit(0))).first()
+    small = F.broadcast(found) if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_RANGES else found  # checked size
     out = docs.select(*names).join(small, F.col(id_col).cast("long") == F.col(gone_doc), "left")
     hit = F.col(gone_doc).isNotNull() & F.col(text).isNotNull()
     out = out.withColumn(lines, F.when(hit, F.filter(F.split(text, "\n", -1), lambda _, i: F.col(ranges).isNotNull() & ~F.exists(ranges, lambda r: (r["start"] <= i) & (i < r["end"])))))
