@@ -48,7 +48,11 @@ def languages_by_hand(model, rows):
         suffix = SUFFIXES.get((re.search(r"\.([a-z]{2,})$", host or "") or [None, None])[1])
         as_class = lambda c: -1 if not c else names.index(c) if c in names else len(names)
         domain = (re.search(r"([^.]+\.[^.]+)$", host or "") or [None, ""])[1]
-        gain = max(ll) / len(t) + math.log(65536) if known and len(t) >= 20 else None
+        b = (text or "").encode()
+        plain = [x >= 0x80 or x == 0x20 or chr(x).isalpha() for x in b]
+        prose = [x for n, x in enumerate(t) if all(plain[n : n + 3])]
+        chosen = model[names[best]] if best is not None else None
+        gain = sum(math.log((chosen[x] + 0.1) / (chosen.total() + 0.1 * 65536)) for x in prose) / len(prose) + math.log(65536) if chosen and len(prose) >= 60 else None
         seen.append((i, [x * scale for x in ll] if known else None, best, host or "", domain, as_class(declared), as_class(suffix), gain))
     votes = [r for r in seen if r[2] is not None]
     tables = {k: Counter((r[k], r[2]) for r in votes) for k in (3, 4, 5, 6)}
@@ -166,4 +170,4 @@ def test_pipeline_on_all_documents(spark, documents):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id: r.text for r in got}.keys() == want.keys()
     assert all(r.decodes for r in got) and len(got) == len(want) < len(documents)
-    assert langid.TESTED == 20
+    assert langid.TESTED == 60

@@ -7,8 +7,9 @@ Declared markup language and address suffix: how often each language's texts
 come with each declaration, counted over all rows. Host priors: languages by
 host, smoothed towards the domain's, smoothed towards the corpus's, from grouped
 sums. A row's own text is taken off all these counts. The posterior is the
-normalised product. A text that an even distribution over all trigrams explains
-better than any of the languages is in none of them, whatever its posterior.
+normalised product. A text whose words an even distribution over all trigrams
+explains better than any of the languages is in none of them, whatever its
+posterior; numbers, addresses and the like do not count in that.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ common.ship(__name__)
 BUCKETS, TRAIN_DOCS, EFFECTIVE, MAX_LANGUAGES = 1 << 16, 1000, 40.0, 64
 #: How many times train_docs rows of a language are ranked.
 DRAWN = 4
-#: Texts of fewer trigrams are not tested for being in none of the languages.
-TESTED = 20
+#: Texts of fewer trigrams of letters and spaces are not tested for being in none of the languages.
+TESTED = 60
 #: Weight of the level above in host and domain priors, and of an even share in the declarations' table.
 ALPHA, BETA = 5.0, 1.0
 #: A row is rejected under this posterior (that of four languages in doubt is 0.25), or without a letter.
@@ -47,8 +48,8 @@ class TextModel:
     logs: np.ndarray  # BUCKETS x languages
 
 
-def trigrams(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams of the lower-cased bytes, and each row's first, one more than rows. None crosses a row's end."""
+def trigrams(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all trigrams of the lower-cased bytes, each row's first, one more than rows, and where each starts. None crosses a row's end."""
     low = common.lower_ascii(data).astype(np.uint32)
     n = max(0, len(low) - 2)
     h = ((low[:n] * np.uint32(0x9E3779B1)) ^ (low[1 : n + 1] * np.uint32(0x85EBCA6B)) ^ (low[2 : n + 2] * np.uint32(0xC2B2AE35))) if n else np.zeros(0, np.uint32)
@@ -57,7 +58,7 @@ def trigrams(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     size = np.maximum(0, np.diff(rows) - 2)
     first = np.concatenate([[0], np.cumsum(size)])
     at = np.arange(first[-1]) + np.repeat(rows[:-1] - first[:-1], size)
-    return h[at], first
+    return h[at], first, at
 
 
 def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_docs: int = TRAIN_DOCS) -> TextModel:
@@ -94,7 +95,7 @@ def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_doc
     def count(batches):
         for batch in batches:
             names = batch.column(0).to_pylist()
-            h, first = trigrams(*common.buffers(batch.column(1)))
+            h, first, _ = trigrams(*common.buffers(batch.column(1)))
             for lang in sorted(set(names)):
                 total = np.zeros(BUCKETS, np.int64)
                 for i, x in enumerate(names):
@@ -132,8 +133,9 @@ def declared_of(html: Column) -> Column:
 def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     """keys, host, domain, declared, suffix (class numbers), ll, best, gain: what is left of df (keys, text, host, declared) once the text is read.
 
-    gain is the best language's mean log likelihood of a trigram over that of an
-    even distribution; null of a text of fewer than TESTED trigrams.
+    gain is the best language's mean log likelihood of a trigram of letters and
+    spaces over that of an even distribution; null of a text with fewer than
+    TESTED of these.
     """
     spark = df.sparkSession
     common.prepare(spark)
@@ -150,7 +152,8 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
             letters = (((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)) | (data >= 0x80)
             has = np.concatenate([[0], np.cumsum(letters)])
             has = has[rows[1:]] > has[rows[:-1]]
-            h, first = trigrams(data, rows)
+            plain = letters | (data == 0x20)
+            h, first, at = trigrams(data, rows)
             count = np.diff(first)
             total = np.zeros((len(count), size))
             full = np.flatnonzero(count > 0)
@@ -159,12 +162,16 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
                     total[full, j] = np.add.reduceat(logs[h, j].astype(np.float64), first[full])
             scaled = total * np.minimum(1.0, EFFECTIVE / np.maximum(count, 1))[:, None]
             best = scaled.argmax(1) if size else np.zeros(len(count), np.int64)
-            gain = total.max(1) / np.maximum(count, 1) + np.log(BUCKETS) if size else np.zeros(len(count))
+            worded, gain = np.zeros(len(count), np.int64), np.zeros(len(count))
+            if len(full) and size:
+                prose = plain[at] & plain[at + 1] & plain[at + 2]
+                worded[full] = np.add.reduceat(prose, first[full], dtype=np.int64)
+                gain[full] = np.add.reduceat(np.where(prose, logs[h, np.repeat(best, count)], 0.0), first[full]) / np.maximum(worded[full], 1) + np.log(BUCKETS)
             known = has & bool(size)  # a text too short for a trigram has its priors
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:n], batch.column(n + 1), batch.column(n + 2),
                 pa.array([x if k else None for x, k in zip(scaled, known, strict=True)], pa.list_(pa.float64())), pa.array(best.astype(np.int32), mask=~(known & (count > 0))),
-                pa.array(gain, mask=~(known & (count >= TESTED))),
+                pa.array(gain, mask=~(known & (worded >= TESTED))),
             ], names=[f.name for f in schema.fields])
         common.trim()
 
