@@ -8,10 +8,12 @@ texts are cryptographic, and those of spans are taken in a prime field.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import hashlib
+import shutil
 import sys
 import tempfile
 import types
@@ -70,12 +72,16 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir.
 
     Where that is unset: the context's checkpoint folder, a temporary folder in
-    local mode, and the (shared) warehouse on a cluster.
+    local mode, which goes with the process, and the (shared) warehouse on a cluster.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tidelog-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        if sc.master == "local" or sc.master.startswith("local["):
+            base = tempfile.mkdtemp(prefix="tidelog-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
