@@ -27,6 +27,8 @@ from tidelog.llm import common
 common.ship(__name__)
 
 BUCKETS, TRAIN_DOCS, EFFECTIVE, MAX_LANGUAGES = 1 << 16, 1000, 40.0, 64
+#: Bytes of texts that are scored at once.
+STEP = 1 << 19
 #: How many times train_docs rows of a language are ranked.
 DRAWN = 4
 #: Texts of fewer trigrams of letters and spaces are not tested for being in none of the languages.
@@ -95,13 +97,12 @@ def fit(labelled: DataFrame, id_col: str, text: str, language: str, *, train_doc
     def count(batches):
         for batch in batches:
             names = batch.column(0).to_pylist()
-            h, first, _ = trigrams(*common.buffers(batch.column(1)))
-            for lang in sorted(set(names)):
-                total = np.zeros(BUCKETS, np.int64)
-                for i, x in enumerate(names):
-                    if x == lang:
-                        total += np.bincount(h[first[i] : first[i + 1]], minlength=BUCKETS)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], names=["language", "counts"])
+            data, rows = common.buffers(batch.column(1))
+            totals = {lang: np.zeros(BUCKETS, np.int64) for lang in names}
+            for lang, lo, hi in zip(names, rows[:-1], rows[1:], strict=True):
+                totals[lang] += np.bincount(trigrams(data[lo:hi], np.array([0, hi - lo]))[0], minlength=BUCKETS)
+            for lang in sorted(totals):
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([totals[lang].tobytes()], pa.binary())], names=["language", "counts"])
         common.trim()
 
     languages: dict[str, np.ndarray] = {}
@@ -144,30 +145,40 @@ def evidence(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("host", T.StringType()), T.StructField("declared", T.StringType()), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType()), T.StructField("gain", T.DoubleType())])
     n = len(keys)
 
+    def score(data: np.ndarray, rows: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of each row: whether it has a letter, its trigrams, those of letters and spaces, and both kinds' log likelihoods by language."""
+        letters = (((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)) | (data >= 0x80)
+        plain = letters | (data == 0x20)
+        has = np.concatenate([[0], np.cumsum(letters)])
+        h, first, at = trigrams(data, rows)
+        count = np.diff(first)
+        worded, total, prose = np.zeros(len(count), np.int64), np.zeros((len(count), size)), np.zeros((len(count), size))
+        full = np.flatnonzero(count > 0)
+        if len(full):
+            own = (plain[at] & plain[at + 1] & plain[at + 2]).astype(np.float64)
+            worded[full] = np.add.reduceat(own, first[full])
+            for j, c in enumerate(columns):
+                x = c[h]
+                total[full, j] = np.add.reduceat(x, first[full])
+                x *= own
+                prose[full, j] = np.add.reduceat(x, first[full])
+        return has[rows[1:]] > has[rows[:-1]], count, worded, total, prose
+
     def run(batches):
         common.make_room()
-        logs = given.value
+        columns = [np.ascontiguousarray(given.value[:, j], np.float64) for j in range(size)]
         for batch in batches:
             data, rows = common.buffers(batch.column(n))
-            letters = (((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)) | (data >= 0x80)
-            has = np.concatenate([[0], np.cumsum(letters)])
-            has = has[rows[1:]] > has[rows[:-1]]
-            plain = letters | (data == 0x20)
-            h, first, at = trigrams(data, rows)
-            count = np.diff(first)
-            total = np.zeros((len(count), size))
-            full = np.flatnonzero(count > 0)
-            if len(full) and size:
-                for j in range(size):
-                    total[full, j] = np.add.reduceat(logs[h, j].astype(np.float64), first[full])
+            parts, i, last = [], 0, len(rows) - 1
+            while i < last or not parts:  # some rows at a time: what is made of them is fifty times as large
+                j = min(last, max(i + 1, int(np.searchsorted(rows, rows[i] + STEP, "right")) - 1))
+                parts.append(score(data[rows[i] : rows[j]], rows[i : j + 1] - rows[i], columns))
+                i = j
+            has, count, worded, total, prose = (np.concatenate(x) for x in zip(*parts, strict=True))
             scaled = total * np.minimum(1.0, EFFECTIVE / np.maximum(count, 1))[:, None]
             best = scaled.argmax(1) if size else np.zeros(len(count), np.int64)
-            worded, gain = np.zeros(len(count), np.int64), np.zeros(len(count))
-            if len(full) and size:
-                prose = plain[at] & plain[at + 1] & plain[at + 2]
-                worded[full] = np.add.reduceat(prose, first[full], dtype=np.int64)
-                gain[full] = np.add.reduceat(np.where(prose, logs[h, np.repeat(best, count)], 0.0), first[full]) / np.maximum(worded[full], 1) + np.log(BUCKETS)
             known = has & bool(size)  # a text too short for a trigram has its priors
+            gain = prose[np.arange(len(count)), best] / np.maximum(worded, 1) + np.log(BUCKETS) if size else np.zeros(len(count))
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:n], batch.column(n + 1), batch.column(n + 2),
                 pa.array([x if k else None for x, k in zip(scaled, known, strict=True)], pa.list_(pa.float64())), pa.array(best.astype(np.int32), mask=~(known & (count > 0))),
