@@ -141,6 +141,7 @@ def encode(df: DataFrame, text: str = "text", *, ranks: str | None = None, merge
             if decoded:
                 new.append(pa.array([c.decode(i) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f.name for f in schema.fields])
+        common.trim()
 
     return df.mapInArrow(run, schema)
 

@@ -25,8 +25,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch; texts are a few KB, so a batch is a few MB, and fewer rows where they are long.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows and bytes of an Arrow batch; texts are a few KB, so a batch is a few MB, and fewer rows where they are long. Rows that a scan decodes at once.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1000, 4 << 20, 512
 
 
 def ship(module: str) -> None:
@@ -63,9 +63,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches, so that long texts do not pile up in a worker."""
+    """Bounds the Arrow batches, so that long texts do not pile up in a worker, and those of scans, whose texts stand in one array."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 def scratch(spark: SparkSession) -> str:

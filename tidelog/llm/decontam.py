@@ -173,6 +173,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                 else:
                     new = [pa.array([r for r, _ in found], pa.list_(pa.int32())), pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*columns, *new], names=names)
+            common.trim()
 
         return run
 
