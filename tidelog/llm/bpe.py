@@ -25,7 +25,7 @@ common.ship(__name__)
 
 RANKS, MERGES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Pieces kept by a worker, and characters of the longest that are kept.
-KEPT_PIECES, KEPT_CHARS = 300_000, 64
+KEPT_PIECES, KEPT_CHARS = 200_000, 64
 #: Texts beyond so many characters are split piecewise, so that their pieces never are all in memory.
 LONG = 2_000_000
 
@@ -107,6 +107,7 @@ def codec(ranks: str | None, merges: str | None, pattern: str | None) -> Codec:
     if key not in cache:
         common.make_room()
         cache[key] = Codec(ranks, merges, pattern)
+        common.trim()  # what the files were read into
     return cache[key]
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch; texts are a few KB, so a batch is a few MB, and fewer rows where they are long. Rows that a scan decodes at once.
-BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1000, 4 << 20, 512
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1000, 2 << 20, 512
 
 
 def ship(module: str) -> None:

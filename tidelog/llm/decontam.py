@@ -83,8 +83,9 @@ def _automaton(key: str, others: list[str], given: dict):
 
     cache = common.worker_cache()
     if key not in cache:
-        for old in [k for k in cache if str(k).startswith("automaton ") and k not in others]:
+        for old in [k for k in cache if isinstance(k, tuple) or (str(k).startswith("automaton ") and k not in others)]:  # vocabularies, and automata of other passes
             del cache[old]
+        common.trim()
         a = ahocorasick.Automaton()
         for p, (size, ids) in given.items():
             a.add_word(p, (size, ids))
