@@ -11,13 +11,18 @@ import statistics
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.twister import random_after
+
 GROUP = ["suite", "case", "scenario", "stage"]
 #: Fixed values of the bootstrap: resamples, seed, and the places of the bounds among the sorted medians.
 RESAMPLES, SEED, LOW, HIGH = 4000, 20261029, 100, 3899
+#: Draws of one block of resamples, blocks of a group at most, and draws made at once.
+BLOCK_DRAWS, BLOCKS, DRAWN = 1 << 26, 32, 1 << 16
 #: A stage is slower if the median ratio is under this and the bounds lie under 1.
 SLOWER = 0.97
 #: Parts that a group's values are cut into to find a rank.
@@ -66,24 +71,75 @@ def by_backend(rows: DataFrame, backends: list[str], measure: str = "duration",
     return rows.groupBy(*keys, "trial").pivot("backend", backends).agg(F.first(measure))
 
 
+def _has_order(values: np.ndarray) -> bool:
+    """Whether no median of some of the values is NaN: none is NaN, and infinities are of one sign."""
+    return not np.isnan(values).any() and not (values.min() == -np.inf and values.max() == np.inf)
+
+
+def resampled(values: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Medians of the resamples with replacement from first to before last, by the random numbers of random.Random(SEED).choices; _has_order(values) holds.
+
+    A value stands for its rank, so the middle of a resample is found in linear time.
+    """
+    n, half, ordered = len(values), len(values) // 2, np.sort(values)
+    rank = np.empty(n, np.int32)
+    rank[np.argsort(values, kind="stable")] = np.arange(n, dtype=np.int32)
+    rng, out, some = random_after(SEED, first * n), [], max(1, DRAWN // n)
+    for start in range(first, last, some):
+        drawn = np.empty((min(some, last - start), n), np.int32)
+        flat = drawn.reshape(-1)
+        for i in range(0, flat.size, DRAWN):
+            flat[i : i + DRAWN] = rank[(rng.random_sample(min(DRAWN, flat.size - i)) * n).astype(np.int64)]
+        drawn.partition(half, axis=1)
+        upper = ordered[drawn[:, half]]
+        with np.errstate(all="ignore"):
+            out.append(upper if n % 2 else (ordered[drawn[:, :half].max(axis=1)] + upper) / 2)
+    return np.concatenate(out)
+
+
 def bootstrap_bounds(values: list[float]) -> tuple[float, float]:
-    """Bounds of 95 % of the median: of sorted medians of resamples with replacement."""
+    """Bounds of 95 % of the median: of sorted medians of resamples with replacement. Where a median may be NaN, Python's sort decides."""
+    if _has_order(drawn := np.array(values, float)):
+        medians = np.sort(resampled(drawn, 0, RESAMPLES))
+        return float(medians[LOW]), float(medians[HIGH])
     rng = random.Random(SEED)
     medians = sorted(statistics.median(rng.choices(values, k=len(values))) for _ in range(RESAMPLES))
     return medians[LOW], medians[HIGH]
 
 
 def bootstrap(ratios: DataFrame, keys: list[str] = GROUP, value: str = "ratio", order: str = "trial") -> DataFrame:
-    """keys, median, low, high. A group is the trials of one condition (tens of rows), resampled in the order of order; without that column, in ascending order."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ratios.select(*keys).schema.fields) + ", median double, low double, high double"
-    order = order if order in ratios.columns else value
-
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        values = list(group.sort_values([order, value])[value])
-        low, high = bootstrap_bounds(values)
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), statistics.median(values), low, high]], columns=[*keys, "median", "low", "high"])
+    """keys, median, low, high. A group is the trials of one condition, resampled in the order of order; without that column, in ascending order.
 
-    return ratios.groupBy(*keys).applyInPandas(of, schema)
+    Small groups are done where they are gathered. The values of a larger one, 8
+    bytes each, go to up to BLOCKS tasks, each of which makes its share of the
+    resamples from its place among the random numbers on. Nulls count as NaN,
+    and a group in which a median may be NaN is not dealt out.
+    """
+    order = order if order in ratios.columns else value
+    by, n_keys = list(dict.fromkeys([order, value])), len(keys)
+    typed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ratios.select(*keys).schema.fields) + "median double, low double, high double, "
+
+    def gathered(group: pa.Table) -> pa.Table:
+        values = group.select(by).to_pandas().sort_values(by)[value].to_numpy(float)
+        blocks = 1 if not _has_order(values) else min(BLOCKS, -(-len(values) * RESAMPLES // BLOCK_DRAWS))
+        low, high = bootstrap_bounds(values.tolist()) if blocks == 1 else (None, None)
+        out = group.select(keys).slice(0, 1)
+        for name, x, kind in [("median", statistics.median(values.tolist()), pa.float64()), ("low", low, pa.float64()), ("high", high, pa.float64()), ("_blocks", blocks, pa.int32()), ("_values", values.tobytes() if blocks > 1 else None, pa.binary())]:
+            out = out.append_column(name, pa.array([x], kind))
+        return out
+
+    def share(batches):
+        for b in batches:
+            medians = []
+            for blocks, block, values in zip(b["_blocks"].to_pylist(), b["_block"].to_pylist(), b["_values"]):
+                medians.append(resampled(np.frombuffer(values.as_buffer()), RESAMPLES * block // blocks, RESAMPLES * (block + 1) // blocks) if values.is_valid else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[: n_keys + 3], pa.array(medians, pa.list_(pa.float64()))], [*b.schema.names[: n_keys + 3], "_medians"])
+
+    groups = ratios.select(*dict.fromkeys([*keys, order, value])).withColumn(value, F.col(value).cast("double")).groupBy(*keys).applyInArrow(gathered, typed + "_blocks int, _values binary")
+    # by a number, as the tasks' work does not show in their bytes
+    dealt = groups.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).repartition(4 * ratios.sparkSession.sparkContext.defaultParallelism, *keys, "_block")
+    whole = dealt.mapInArrow(share, typed + "_medians array<double>").groupBy(*keys).agg(F.first("median").alias("median"), F.first("low").alias("low"), F.first("high").alias("high"), F.sort_array(F.flatten(F.collect_list("_medians"))).alias("_medians"))
+    return whole.select(*keys, "median", *[F.coalesce(b, F.get("_medians", F.lit(place))).alias(b) for b, place in (("low", LOW), ("high", HIGH))])
 
 
 def regressions(bounds: DataFrame) -> DataFrame:
